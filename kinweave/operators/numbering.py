@@ -9,19 +9,16 @@ from pyspark.sql import functions as F
 def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 64) -> DataFrame:
     """Add `out`: 0, 1, 2, ... within each group of `keys`, with no gaps.
 
-    Rows of a group are dealt into `buckets` by a hash of `order`, numbered inside each (key, bucket) and shifted by the
+    Keys must not be null. Rows of a group are dealt into `buckets` by a hash of `order`, numbered inside each (key, bucket) and shifted by the
     rows in the buckets before, which come from a count of keys x buckets rows. `order` should tell rows apart; rows that
     are equal in it get different numbers in an arbitrary order. Only the numbers inside a group matter, not which row
     has which. Choose `buckets` so that rows / buckets fits a task comfortably.
     """
     b, n = "__bucket", "__before"
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(b).alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(n))
+    sizes = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select(*keys, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(n))
     inside = Window.partitionBy(*keys, b).orderBy(*order)
-    dealt = dealt.withColumn(out, F.row_number().over(inside))
-    same = F.col(b) == F.col("__b")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return dealt.join(sizes, same).withColumn(out, (F.col(out) - 1 + F.col(n)).cast("long")).drop(b, n, "__b", *[f"__k{i}" for i in range(len(keys))])
+    joined = dealt.withColumn(out, F.row_number().over(inside)).join(sizes, [*keys, b])
+    return joined.withColumn(out, (F.col(out) - 1 + F.col(n)).cast("long")).select(*df.columns, out)
