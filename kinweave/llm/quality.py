@@ -133,3 +133,9 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     passed = reduce(Column.__and__, [r.column(counts | ratios) for r in rules], F.lit(True))
     out = counts | ratios | {"base_failed": failed, "kept": ~failed & passed}
     return docs.withColumn("__m", measures(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(prefix + k) for k, v in out.items()])
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that pass the base test and all rules, columns as they were."""
+    prefix = "__quality_"
+    return quality(docs, rules, text_col, prefix).where(f"`{prefix}kept`").select(*[F.col(f"`{c}`") for c in docs.columns])
