@@ -159,7 +159,7 @@ def _links_by_flips(keyed: DataFrame, masks: list[int], distance: int) -> DataFr
         sets = [sum(c) for k in range(distance // 2 + 1) for c in combinations(free, k)]
         flips.append([x - (1 << 64) if x >> 63 else x for x in sets])
     table = keyed.sparkSession.createDataFrame([(t, x) for t, xs in enumerate(flips) for x in xs], "t int, flip long")
-    near = keyed.join(F.broadcast(table), "t").select("t", "key", "fp", F.col("fp").bitwiseXOR("flip").alias("value"))
+    near = keyed.join(F.broadcast(table), "t").select("t", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     hub = near.groupBy("t", "key", "value").agg(F.min("fp").alias("dst"))
     return near.join(hub, ["t", "key", "value"]).where("fp <> dst").select(F.col("fp").alias("src"), "dst")
 
