@@ -185,7 +185,7 @@ def local_cliques(edges: DataFrame, p: Parameters = Parameters()) -> DataFrame:
                     stack.append(([*clique, v], open_ & near[v], shut & near[v]))
                     open_.remove(v)
                     shut.add(v)
-        return pd.DataFrame({"members": found})
+        return pd.DataFrame({"members": pd.Series(found, dtype=object)})
 
     return _numbered(inner.unionByName(own).groupBy("root").applyInPandas(search, f"members array<{kind}>"), p.start)
 

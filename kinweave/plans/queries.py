@@ -357,7 +357,7 @@ def ngram_windows(spark, sf):
 
 _MULTI = f"""l AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents), s AS (SELECT {_CLEAN} AS t FROM l WHERE len({_CLEAN}) > 1),
     g AS (SELECT unnest(CASE WHEN len(t) < 3 THEN [t] ELSE list_transform(generate_series(1, len(t) - 2), lambda i: t[i:i + 2]) END) AS g FROM s),
-    k AS (SELECT array_to_string(list_sort(g), ' ') AS k, list_sort(g) AS g, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 3 AND len(list_distinct(g)) > 1),
+    o AS (SELECT list_sort(g) AS g FROM g), k AS (SELECT array_to_string(g, ' ') AS k, g, count(*) AS n FROM o GROUP BY g HAVING count(*) >= 3 AND len(list_distinct(g)) > 1),
     u AS (SELECT k, n, unnest(list_distinct(g)) AS w, g FROM k), x AS (SELECT w, len(list_filter(g, lambda y: y = w)) AS m, n FROM u)"""
 
 
@@ -475,7 +475,7 @@ def _part_graph(spark, sf) -> DataFrame:
 
 @_query(
     f"""WITH {_TOP}, g AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM r), d AS (SELECT v, count(*) AS d FROM (SELECT a AS v FROM g UNION ALL SELECT b FROM g) GROUP BY 1 HAVING count(*) > 1),
-    t AS (SELECT x.a AS p, x.b AS q, y.b AS s FROM g x JOIN g y ON x.b = y.a JOIN g z ON z.a = x.a AND z.b = y.b), k AS (SELECT v, count(*) AS k FROM (SELECT p AS v FROM t UNION ALL SELECT q FROM t UNION ALL SELECT s FROM t) GROUP BY 1)
+    tri AS (SELECT x.a AS p, x.b AS q, y.b AS s FROM g x JOIN g y ON x.b = y.a JOIN g z ON z.a = x.a AND z.b = y.b), k AS (SELECT v, count(*) AS k FROM (SELECT p AS v FROM tri UNION ALL SELECT q FROM tri UNION ALL SELECT s FROM tri) GROUP BY 1)
     SELECT d.v AS vertex, d AS degree, coalesce(k, 0) AS triangles, round(coalesce(k, 0) / (d * (d - 1) / 2), 6) AS coefficient FROM d LEFT JOIN k USING (v)"""
 )
 def triangle_clustering_coeff(spark, sf):
@@ -513,8 +513,8 @@ def rmse(spark, sf):
 
 
 @_query(
-    f"""WITH {_EDGES}, b AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM e) WHERE r = 1)
-    SELECT x.src AS a, x.dst AS b FROM b x JOIN b y ON x.src = y.dst AND x.dst = y.src AND x.src < x.dst"""
+    f"""WITH {_EDGES}, b2 AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM e) WHERE r = 1)
+    SELECT x.src AS a, x.dst AS b FROM b2 x JOIN b2 y ON x.src = y.dst AND x.dst = y.src AND x.src < x.dst"""
 )
 def mutual_max(spark, sf):
     rows = clustering.mutual_max(_edges(spark, sf))
@@ -725,14 +725,14 @@ def _d3(spark, sf):
     return graph_nodes_links(_edges(spark, sf), names, top=40)
 
 
-_D3 = f"WITH {_EDGES}, k AS (SELECT * FROM e ORDER BY w DESC, src, dst LIMIT 40), v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS at FROM (SELECT src AS v FROM k UNION SELECT dst FROM k))"
+_D3 = f"WITH {_EDGES}, k AS (SELECT * FROM e ORDER BY w DESC, src, dst LIMIT 40), v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS "at" FROM (SELECT src AS v FROM k UNION SELECT dst FROM k))"
 
 
-@_query(f'{_D3} SELECT at, lower(v) AS name, 0::BIGINT AS "group" FROM v')
+@_query(f'{_D3} SELECT "at", lower(v) AS name, 0::BIGINT AS "group" FROM v')
 def graph_json_nodes(spark, sf):
     return _d3(spark, sf)[0]
 
 
-@_query(f"{_D3} SELECT a.at AS source, b.at AS target, round(w, 6) AS value FROM k JOIN v a ON a.v = src JOIN v b ON b.v = dst")
+@_query(f"{_D3} SELECT a."at" AS source, b."at" AS target, round(w, 6) AS value FROM k JOIN v a ON a.v = src JOIN v b ON b.v = dst")
 def graph_json_links(spark, sf):
     return _d3(spark, sf)[1].select("source", "target", _r("value"))
