@@ -725,14 +725,14 @@ def _d3(spark, sf):
     return graph_nodes_links(_edges(spark, sf), names, top=40)
 
 
-_D3 = f"WITH {_EDGES}, k AS (SELECT * FROM e ORDER BY w DESC, src, dst LIMIT 40), v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS "at" FROM (SELECT src AS v FROM k UNION SELECT dst FROM k))"
+_D3 = f"WITH {_EDGES}, k AS (SELECT * FROM e ORDER BY w DESC, src, dst LIMIT 40), v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place FROM (SELECT src AS v FROM k UNION SELECT dst FROM k))"
 
 
-@_query(f'{_D3} SELECT "at", lower(v) AS name, 0::BIGINT AS "group" FROM v')
+@_query(f'{_D3} SELECT place AS "at", lower(v) AS name, 0::BIGINT AS "group" FROM v')
 def graph_json_nodes(spark, sf):
     return _d3(spark, sf)[0]
 
 
-@_query(f"{_D3} SELECT a."at" AS source, b."at" AS target, round(w, 6) AS value FROM k JOIN v a ON a.v = src JOIN v b ON b.v = dst")
+@_query(f"{_D3} SELECT a.place AS source, b.place AS target, round(w, 6) AS value FROM k JOIN v a ON a.v = src JOIN v b ON b.v = dst")
 def graph_json_links(spark, sf):
     return _d3(spark, sf)[1].select("source", "target", _r("value"))
