@@ -13,48 +13,66 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = [chr(b) if b in _SHOWN else chr(256 + n) for b, n in zip(range(256), (sum(x not in _SHOWN for x in range(b)) for b in range(256)), strict=True)]
 
-#: Words and word parts that a task remembers; each takes some 150 bytes.
-REMEMBERED = 300_000
+#: Entries in the younger of a cache's two generations; each takes some 150 bytes.
+REMEMBERED = 250_000
+
+
+class Remembered:
+    """A cache of two generations: when the younger is full it becomes the older, whose unused entries go with the next turn."""
+
+    def __init__(self):
+        self.younger: dict = {}
+        self.older: dict = {}
+
+    def turn(self) -> dict:
+        if len(self.younger) > REMEMBERED:
+            self.older, self.younger = self.younger, {}
+        return self.younger
 
 
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of a text, without special tokens.
 
     White space never joins tokens here, so a text's ids are those of its parts between ASCII white space. A part is encoded
-    once. Parts of Latin-1 characters are lower-cased, split by the pattern and given to the model; any other part goes
-    through the whole tokenizer.
+    once while it is remembered. Plain words, with a full stop or comma after them or not, go straight to the model; other
+    parts of Latin-1 characters are lower-cased and split by the pattern; any other part goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.parts: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts, self.words = Remembered(), Remembered()
 
     def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            tokens = self.model.tokenize("".join(BYTE_CHARS[b] for b in word.encode()))
-            ids = self.words[word] = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
+        known = self.words.younger
+        if (ids := known.get(word)) is None:
+            if (ids := self.words.older.get(word)) is None:
+                shown = word if word.isascii() else "".join([BYTE_CHARS[b] for b in word.encode()])
+                tokens = self.model.tokenize(shown)
+                ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            known[word] = ids
         return ids
 
     def _part(self, part: bytes) -> bytes:
+        if part.isalpha():  # ASCII letters alone
+            return self._word(part.lower().decode())
+        if part[-1] in b".," and part[:-1].isalpha():
+            return self._word(part[:-1].lower().decode()) + self._word(chr(part[-1]))
         text = part.decode()
-        if max(text) <= "\xff" and "\x85" not in text and "\xa0" not in text:
-            return b"".join(map(self._word, PATTERN.findall(text.lower())))
+        if max(text) <= "\xff" and min(text) > " " and "\x7f" not in text and not any("\x80" <= c <= "\xa0" for c in text):
+            return b"".join([self._word(w) for w in PATTERN.findall(text.lower())])
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
-        parts, known = text.split(), self.parts
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        parts, known = text.split(), self.parts.turn()
+        self.words.turn()
+        older = self.parts.older
         for part in set(parts).difference(known):
-            known[part] = self._part(part)
+            known[part] = ids if (ids := older.get(part)) is not None else self._part(part)
         return b"".join(map(known.__getitem__, parts))
 
 
