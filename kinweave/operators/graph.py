@@ -112,7 +112,11 @@ def l1_terms(data: EdgeData, non_negative: bool = False) -> DataFrame:
 
 
 def relative_l1(terms: DataFrame) -> DataFrame:
-    """(i, j, distance, error): relative L1 distance, and the bound of its error from what pruning took."""
+    """(i, j, distance, error): relative L1 distance, and what pruning took of both ends' weight, as a share.
+
+    The distance over kept weights alone is off by at most `error`. This one also counts discarded weights as apart, so it
+    is never too small, and too large by at most twice `error`: a lost edge may hide a shared neighbour on either side.
+    """
     total = F.col("r_i") + F.col("r_j") + F.col("d_i") + F.col("d_j")
     return terms.select("i", "j", ((F.col("s") + total) / total).alias("distance"), ((F.col("d_i") + F.col("d_j")) / total).alias("error"))
 

@@ -64,7 +64,7 @@ def bigram_file(spark: SparkSession, path: str, count_last: bool = False) -> Dat
 
 
 def _tuple_fields(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(line, "[()]", ""), ","), F.trim)
+    return F.transform(F.split(F.regexp_replace(line, "[()]", ""), ","), lambda x: F.trim(x))
 
 
 def graph_vertices(spark: SparkSession, path: str) -> DataFrame:
