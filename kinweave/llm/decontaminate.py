@@ -242,9 +242,10 @@ def clean_texts(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """`docs` without benchmark text: documents with one hit word in `one_in` or more go, and from the others every span
     of at least `min_words` words is cut. Rows with a null id stay as they are."""
     found = contamination(docs, items, id_col, text_col, **options).where("n_hit > 0")
-    marks = found.groupBy(F.col(id_col).alias("__id")).agg(F.first("spans").alias("__spans"), F.max(contaminated(one_in)).alias("__out"))
-    joined = docs.join(marks, docs[id_col] == marks["__id"], "left").where(~F.coalesce("__out", F.lit(False)))
-    long_spans = F.filter("__spans", lambda s: s["end"] - s["start"] >= min_words)
+    marks = found.groupBy(F.col(id_col).alias("id")).agg(F.first("spans").alias("spans"), F.max(contaminated(one_in)).alias("out"))
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))  # no name can clash inside
+    joined = rows.join(marks, "id", "left").where(~F.coalesce("out", F.lit(False)))
+    long_spans = F.filter("spans", lambda s: s["end"] - s["start"] >= min_words)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -252,12 +253,13 @@ def clean_texts(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
         return pd.Series([cut_spans(t, [(s["start"], s["end"]) for s in ss]) for t, ss in zip(texts, spans, strict=True)], dtype=object)
 
-    whole = joined.where("__id is null").select(docs.columns)
-    parts = joined.where("__id is not null").withColumn(text_col, cut(text_col, long_spans)).select(docs.columns)
-    return whole.unionByName(parts)
+    whole = joined.where("out is null").select("row.*")
+    parts = joined.where("out is not null").select(F.col("row").withField(text_col, cut(F.col(f"row.{text_col}"), long_spans)).alias("row"))
+    return whole.unionByName(parts.select("row.*"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 20, **options) -> DataFrame:
     """`docs` without the documents with one hit word in `one_in` words or more; all others stay as they are."""
-    bad = contamination(docs, items, id_col, text_col, **options).where(contaminated(one_in)).select(F.col(id_col).alias("__id"))
-    return docs.join(bad, docs[id_col] == F.col("__id"), "left_anti")
+    bad = contamination(docs, items, id_col, text_col, **options).where(contaminated(one_in)).select(F.col(id_col).alias("id")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))  # no name can clash inside
+    return rows.join(bad, "id", "left_anti").select("row.*")

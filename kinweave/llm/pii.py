@@ -206,8 +206,9 @@ def masked(text: Column, spans: Column, block: int = 4096) -> Column:
 
 def mask_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with every span that pii_spans() finds masked; all rows and columns stay, and a null text stays null."""
-    found = pii_spans(docs, id_col, text_col, **options).where("size(spans) > 0").select(F.col(id_col).alias("__id"), "text_hash", F.col("spans").alias("__spans")).dropDuplicates(["__id", "text_hash"])
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash"))
-    joined = keyed.join(found, same, "left")
-    return joined.withColumn(text_col, masked(F.col(text_col), F.col("__spans"))).select(docs.columns)
+    found = pii_spans(docs, id_col, text_col, **options).where("size(spans) > 0").groupBy(F.col(id_col).alias("id"), "text_hash").agg(F.first("spans").alias("spans")).alias("f")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("text_hash"), F.struct("*").alias("row")).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
+    own = F.col("d.row")
+    return rows.join(found, same, "left").select(own.withField(text_col, masked(own[text_col], F.col("f.spans"))).alias("row")).select("row.*")

@@ -118,11 +118,9 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     """`docs` plus one column for each measure and {prefix}kept, all named with `prefix`.
 
     Ratios of a text without words or lines are null, and null meets every rule; the base test fails it (n_words < 20, or
-    over 30 of 100 words inside repeated windows). Columns of `docs` that already have such a name are an error.
+    over 30 of 100 words inside repeated windows). A column of `docs` with the name of a new one gives way to it.
     """
-    if clash := [c for c in docs.columns if c.lower().startswith(prefix)]:
-        raise ValueError(f"columns {clash} clash with the prefix {prefix!r}; give another")
-    m = lambda name: F.col(f"__m.{name}")
+    m = lambda name: F.col(f"m.{name}")
     counts = {k: m(k) for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words")} | {"n_lines": m("lines.n"), "n_dup_lines": m("lines.dup")}
     share = lambda a, b: F.when(counts[b] > 0, counts[a] / counts[b])
     ratios = {
@@ -131,11 +129,13 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     }
     failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
     passed = reduce(Column.__and__, [r.column(counts | ratios) for r in rules], F.lit(True))
-    out = counts | ratios | {"base_failed": failed, "kept": ~failed & passed}
-    return docs.withColumn("__m", measures(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(prefix + k) for k, v in out.items()])
+    out = {prefix + k: v for k, v in (counts | ratios | {"base_failed": failed, "kept": ~failed & passed}).items()}
+    names = {k.lower() for k in out}
+    rows = docs.select(F.struct("*").alias("row"), measures(F.col(text_col)).alias("m"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in names], *[v.alias(k) for k, v in out.items()])
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that pass the base test and all rules, columns as they were."""
-    prefix = "__quality_"
-    return quality(docs, rules, text_col, prefix).where(f"`{prefix}kept`").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return quality(rows, rules, "text").where("q_kept").select("row.*")

@@ -186,8 +186,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Repeated rows of one id count as copies: one of them stays. Rows with a null id always stay.
     """
     groups = simhash_groups(docs, id_col, text_col, **options)
-    stay = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = docs.join(stay, docs[id_col] == stay["__id"]).drop("__id")
-    once = kept.where("__n = 1").drop("__n")
-    repeated = kept.where("__n > 1").drop("__n").dropDuplicates([id_col])
+    stay = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))  # no name can clash inside
+    kept = rows.join(stay, "id")
+    once = kept.where("n = 1").select("row.*")
+    repeated = kept.where("n > 1").groupBy("id").agg(F.first("row").alias("row")).select("row.*")
     return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
