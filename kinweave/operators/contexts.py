@@ -195,3 +195,13 @@ def note_groups(notes: DataFrame, gap: int = 50, track: str = "track", onset: st
     w = Window.partitionBy(track).orderBy(onset)
     new = F.coalesce((F.col(onset) - F.lag(onset).over(w) > gap).cast("int"), F.lit(0))
     return notes.withColumn("__new", new).withColumn("group", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def of_type(items: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
+    """The rows of `items` (with item) whose kind (item, kind) is the one given."""
+    return items.join(kinds.where(F.col("kind") == kind).select("item"), "item", "left_semi")
+
+
+def artist_of(tracks: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """`tracks` (with track_id) plus artist_id from the hierarchy, null where it is unknown."""
+    return tracks.join(hierarchy.select("track_id", "artist_id"), "track_id", "left")

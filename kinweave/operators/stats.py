@@ -117,3 +117,10 @@ def l1_metrics(terms: DataFrame) -> DataFrame:
 
 def approx_equal(x: float, y: float, tolerance: float = 0.001) -> bool:
     return abs(x - y) <= tolerance * min(abs(x), abs(y))
+
+
+def shares(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, share): how many rows each combination has, and what share of all; as of notes by channel and pitch."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select(*keys, "n", (F.col("n") / F.col("total")).alias("share"))  # total is one row

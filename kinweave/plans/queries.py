@@ -466,6 +466,16 @@ def cumulative_counts(spark, sf):
     return stats.cumulative_counts(_table(spark, sf, "part"), "p_size")
 
 
+@_query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS share FROM lineitem GROUP BY 1, 2")
+def shares(spark, sf):
+    return stats.shares(_table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").select("l_returnflag", "l_linestatus", "n", _r("share"))
+
+
+@_query("SELECT round(avg(l_quantity), 6) AS mean, count(l_quantity) AS n, round(stddev_pop(l_quantity), 6) AS stdev FROM lineitem")
+def summary(spark, sf):
+    return stats.summary(_table(spark, sf, "lineitem"), "l_quantity").select(_r("mean"), "n", _r("stdev"))
+
+
 _PP = f"WITH {_PART_PAIRS}, g AS (SELECT i, j FROM p), v AS (SELECT i AS v, j AS u FROM g UNION ALL SELECT j, i FROM g)"
 
 

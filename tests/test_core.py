@@ -304,6 +304,14 @@ def test_small_makers(spark):
     assert tuples(contexts.moving_window(ctx(spark, [[7], [8]]), 2)) == {(0, 7), (1, 7), (1, 8), (2, 8)}
     notes = spark.createDataFrame([(1, 0), (1, 40), (1, 100), (2, 5)], "track int, onset int")
     assert tuples(contexts.note_groups(notes), "track", "onset", "group") == {(1, 0, 0), (1, 40, 0), (1, 100, 1), (2, 5, 0)}
+    items = spark.createDataFrame([(1,), (2,), (3,)], "item long")
+    kinds = spark.createDataFrame([(1, "track"), (2, "album"), (3, "genre")], "item long, kind string")
+    assert tuples(contexts.of_type(items, kinds, "track")) == {(1,)}
+    tree = spark.createDataFrame([(1, 10, 7)], "track_id long, album_id long, artist_id long")
+    assert tuples(contexts.artist_of(items.withColumnRenamed("item", "track_id"), tree)) == {(1, 7), (2, None), (3, None)}
+    rated = spark.createDataFrame([(1, 9), (2, 8), (3, 7), (4, 6)], "item long, rating int")
+    albums = spark.createDataFrame([(2, 70)], "album_id long, artist_id long")
+    assert tuples(contexts.lift_items(rated, tree.select("track_id", "artist_id"), albums, kinds)) == {(7, 9), (70, 8), (3, 7)}
     g = gapless(spark.range(100).withColumn("k", F.col("id") % 3), ["k"], ["id"], "n", 4)
     assert all(sorted(r.n for r in g.where(F.col("k") == k).collect()) == list(range(34 if k == 0 else 33)) for k in range(3))
 
