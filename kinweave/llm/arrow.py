@@ -14,8 +14,11 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 ROWS = 500
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """`make()` runs once a task and returns a function from columns to columns, which then gets at most ROWS rows a call."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, raw: tuple[str, ...] = ()) -> DataFrame:
+    """`make()` runs once a task and returns a function from columns to columns, which then gets at most ROWS rows a call.
+
+    It gets lists, or Arrow arrays for columns named in `raw`, and may return either.
+    """
     out: pa.Schema = to_arrow_schema(_schema(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -23,8 +26,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                got = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+                got = step({name: part.column(i) if name in raw else part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 

@@ -9,9 +9,10 @@ some already, and reading back takes one away; so a text can neither open nor cl
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -61,25 +62,27 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def loss_ranges(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
-    """For each span its tokens (token, start, end), cut to the span; a token of two turns gives each its own part."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
+def loss_ranges(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each span (first token, starts, ends): its tokens in a row, cut to the span; a token of two turns gives each its own part."""
+    if not spans:
+        return []
+    at = np.array(offsets, np.int32).reshape(-1, 2)
+    starts, ends = at[:, 0], at[:, 1]
     out = []
     for a, b in spans:
-        first, last = bisect_right(ends, a), bisect_left(starts, b)
-        out.append([(i, max(a, starts[i]), min(b, ends[i])) for i in range(first, last) if ends[i] > starts[i]])
+        first, last = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
+        last = max(first, last)
+        out.append((first, np.maximum(starts[first:last], a), np.minimum(ends[first:last], b)))
     return out
 
 
-def covered(tokens: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The characters that tokens cover, merged: tokens that share a character count it once."""
-    out: list[list[int]] = []
-    for _, a, b in tokens:
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+def covered(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The characters that sorted tokens cover, merged: tokens that share a character count it once."""
+    if not len(starts):
+        return []
+    reach = np.maximum.accumulate(ends)
+    new = np.flatnonzero(starts[1:] > reach[:-1]) + 1
+    return list(zip(starts[np.concatenate([[0], new])].tolist(), reach[np.concatenate([new - 1, [len(ends) - 1]])].tolist(), strict=True))
 
 
 def load(path: str) -> Tokenizer:
@@ -95,7 +98,8 @@ def load(path: str) -> Tokenizer:
 def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """(conv_col, formatted, ids, loss): each conversation rendered and encoded once.
 
-    loss: for each turn of `loss_role` the tokens under the mask with the characters they cover, [(token, start, end)].
+    loss: for each turn of `loss_role` its first token under the mask, and where each of its tokens starts and ends in
+    `formatted`, as far as the turn reaches.
     Rows are ordered by turn, then role and text, nulls first; repeated rows are turns of their own; null roles and texts
     are empty; rows with a null conversation form one. A conversation is one record, so it is the unit that must fit a
     task. Extra columns are not read.
@@ -108,18 +112,26 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str =
         tokenizer = load(tokenizer_path)
 
         def step(cols):
-            out = {"id": cols["id"], "formatted": [], "ids": [], "loss": []}
+            out = {"id": cols["id"], "formatted": [], "ids": []}
+            first, starts, ends, tokens, turns = [], [], [], [0], [0]
             for roles, texts in zip(cols["roles"], cols["texts"], strict=True):
                 r = render(list(zip(roles, texts, strict=True)), loss_role)
                 code = tokenizer.encode(r.text, add_special_tokens=False)
                 out["formatted"].append(r.text)
-                out["ids"].append(code.ids)
-                out["loss"].append([[{"token": i, "start": a, "end": b} for i, a, b in x] for x in loss_ranges(code.offsets, r.spans)])
-            return out
+                out["ids"].append(np.array(code.ids, np.int32))
+                for i, a, b in loss_ranges(code.offsets if r.spans else [], r.spans):
+                    first.append(i)
+                    starts.append(a)
+                    ends.append(b)
+                    tokens.append(tokens[-1] + len(a))
+                turns.append(len(first))
+            flat = lambda parts: pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
+            each = pa.StructArray.from_arrays([pa.array(first, pa.int32()), flat(starts), flat(ends)], ["token", "starts", "ends"])
+            return out | {"loss": pa.ListArray.from_arrays(pa.array(turns, pa.int32()), each)}
 
         return step
 
-    out = map_batches(whole, make, "id long, formatted string, ids array<int>, loss array<array<struct<token: int, start: int, end: int>>>")
+    out = map_batches(whole, make, "id long, formatted string, ids array<int>, loss array<struct<token: int, starts: array<int>, ends: array<int>>>")
     return out.withColumnRenamed("id", conv_col)
 
 
@@ -133,7 +145,8 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             out = {"id": cols["id"], "n_turns": [], "turns_sha256": [], "loss_chars": [], "loss_sha256": [], "formatted_chars": []}
             for text, loss in zip(cols["formatted"], cols["loss"], strict=True):
                 turns = parse(text)
-                said = [unescape("".join(text[a:b] for a, b in covered([(x["token"], x["start"], x["end"]) for x in turn]))) for turn in loss]
+                spans = [covered(t["starts"].values.to_numpy(), t["ends"].values.to_numpy()) for t in loss]
+                said = [unescape("".join(text[a:b] for a, b in parts)) for parts in spans]
                 out["n_turns"].append(len(turns))
                 out["turns_sha256"].append(sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
                 out["loss_chars"].append(sum(map(len, said)))
@@ -144,4 +157,4 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         return step
 
     rows = formatted.select(F.col(conv_col).alias("id"), "formatted", "loss")
-    return map_batches(rows, make, "id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("id", conv_col)
+    return map_batches(rows, make, "id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", raw=("loss",)).withColumnRenamed("id", conv_col)
