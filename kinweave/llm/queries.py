@@ -18,7 +18,7 @@ from kinweave.llm.quality import RULES, STOP_FORMS, quality
 from kinweave.llm.sharding import shard_documents
 from kinweave.llm.simhash import simhash_groups
 from kinweave.llm.url_filter import Rule, filter_urls
-from kinweave.runtime import new_folder
+from kinweave.runtime import new_folder, spool
 
 PACKING_TOKENIZER = tokenizer_path("word_bpe_49k.json")
 CHAT_TOKENIZER = tokenizer_path("byte_bpe_50k.json")
@@ -99,7 +99,7 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     v1 = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     v2 = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]"))
     ledger = rollup.Ledger(spark, new_folder(spark, "ledger"))
-    counted = docs.select("source", "lang", v1.alias("v1"), v2.alias("v2"))
+    counted = spool(docs.select("source", "lang", v1.alias("v1"), v2.alias("v2")), "counted")
     ledger.commit("0001-insert", rollup.inserts(counted, "words-1", F.col("v1")).unionByName(rollup.inserts(counted, "words-2", F.col("v1"))))
     ledger.commit("0001-insert", rollup.inserts(counted, "words-1", F.col("v1")))
     ledger.commit("0002-delete", rollup.deletes(counted.where("v1 < 20"), "words-1", F.col("v1")))
