@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, processors
 
 from kinweave.llm.arrow import map_batches
 
@@ -85,10 +86,12 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], new])].tolist(), reach[np.concatenate([new - 1, [len(ends) - 1]])].tolist(), strict=True))
 
 
+@cache
 def load(path: str) -> Tokenizer:
-    """A byte-level tokenizer whose control strings in a text are ordinary text and whose offsets keep white space."""
-    from tokenizers import processors
+    """A byte-level tokenizer whose control strings in a text are ordinary text and whose offsets keep white space.
 
+    A worker process loads it once: a copy for each task would leave its memory scattered.
+    """
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)

@@ -118,7 +118,8 @@ _ROLLUP_SQL = r"""
 def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(own), CHAT_TOKENIZER))
+    made = format_conversations(turns.unionByName(own), CHAT_TOKENIZER).select("conv_id", "formatted", "loss")
+    return read_back(spool(made, "formatted"))  # reading back in the same tasks would double their Python workers
 
 
 def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
