@@ -39,7 +39,7 @@ def test_text_readers(spark, put):
     assert rows(readers.bigram_file(spark, put("b", "3,a,b\nx\n2,c,d\n"))) == [("a", "b", 3), ("c", "d", 2)]
     assert rows(readers.bigram_file(spark, put("b2", "a,b,1\n"), count_last=True)) == [("a", "b", 1)]
     assert rows(readers.graph_edges(spark, put("ge", "((1,2),0.5)\n"))) == [(1, 2, 0.5)] and rows(readers.graph_vertices(spark, put("gv", "(1, x,0.5)\n"))) == [(1, "x", 0.5)]
-    assert lines(readers.tweets(spark, put("tw", "Text: hi\nOrigin:x\nTime: 3\n")).withColumnRenamed("text", "value")) == [" hi", "x"]
+    assert lines(readers.tweets(spark, put("tw", "Text: hi\nOrigin: x\nTime: 3\n")).withColumnRenamed("text", "value")) == ["hi", "x"]
     assert rows(readers.yearly_ngrams(spark, put("y", "a b\t1990\t3\na b\t1991\t4\na_N b\t1990\t3\nc\t1990\t1\n"))) == [(["a", "b"], 7)]
     assert rows(readers.labelled_examples(spark, put("l", "x\ta b a\n")).select("class_id", "tokens")) == [("x", ["a", "b"])]
     assert rows(readers.interaction_pairs(spark, put("p", "A\t1\t2\tB\nA\t1\t2\tA\n"))) == [("A", "B"), ("B", "A")]
