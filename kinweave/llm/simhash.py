@@ -185,7 +185,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Repeated rows of one id count as copies: one of them stays. Rows with a null id always stay.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options)
+    return keep_least(docs, simhash_groups(docs, id_col, text_col, **options), id_col)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """keep_one() for `groups` (id_col, component_id) of any kind."""
     stay = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))  # no name can clash inside
     kept = rows.join(stay, "id")
