@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.arrow import as_bytes, map_batches
+from kinweave.runtime import spool
 
 #: Bytes to their lower case where they belong to words, else to a space: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z to a-z.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -183,24 +185,32 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     spans: merged word ranges [start, end) inside occurrences of items' windows; n_hit: their words; items: the ids, as
     strings, in order, whose windows occur. Null and wordless texts have no words and no hits; items without words give no
     windows; an item with a null id gives hits but no name; an id that repeats counts once. Extra columns are not read.
-    With several blocks of items, documents need distinct ids and the blocks' spans meet in a shuffle of hits alone.
+    Rows are told apart by their place, never by id, so neither null or repeated ids nor the number of blocks matter. With
+    several blocks of items the texts are written once to the shared folder, and the blocks' hits meet in a shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col, "text"))
-    found = [_scan_block(rows, block, window) for block in _blocks(items, item_id, item_text, block_words)]
-    if len(found) > 1:
-        base = found[0]
-        hits = found[0].where("size(spans) > 0")
-        for f in found[1:]:
-            hits = hits.unionByName(f.where("size(spans) > 0"))
-        met = hits.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return _found(docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col, "text")), items, item_id, item_text, window, block_words).withColumnRenamed("id", id_col)
+
+
+def _found(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> DataFrame:
+    """(id, n_words, n_hit, spans, items) for each of `rows` (id, text)."""
+    blocks = _blocks(items, item_id, item_text, block_words)
+    held = list(islice(blocks, 2))
+    if len(held) == 1:
+        table = _scan_block(rows, held[0], window)
+    else:
+        numbered = spool(rows.select("id", "text", F.monotonically_increasing_id().alias("n")), "texts")
+        met = None
+        for block in chain(held, blocks):
+            found = _scan_block(numbered.select(F.col("n").alias("id"), "text"), block, window)
+            hits = found.where("size(spans) > 0")
+            base, met = (found.select("id", "n_words"), hits) if met is None else (base, met.unionByName(hits))
+        met = met.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         met = met.withColumn("spans", _merged("spans"))
-        joined = base.select("id", "n_words").join(met, "id", "left")
+        joined = numbered.select("n", F.col("id").alias("own")).join(base.withColumnRenamed("id", "n"), "n").join(met.withColumnRenamed("id", "n"), "n", "left")
         none_s, none_i = F.array().cast("array<struct<start: long, end: long>>"), F.array().cast("array<string>")
-        table = joined.select("id", "n_words", F.coalesce("spans", none_s).alias("spans"), F.coalesce("items", none_i).alias("items"))
-    else:
-        table = found[0]
+        table = joined.select(F.col("own").alias("id"), "n_words", F.coalesce("spans", none_s).alias("spans"), F.coalesce("items", none_i).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return table.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return table.select("id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def _merged(spans: str):
@@ -240,10 +250,10 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def clean_texts(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, one_in: int = 20, **options) -> DataFrame:
     """`docs` without benchmark text: documents with one hit word in `one_in` or more go, and from the others every span
-    of at least `min_words` words is cut. Rows with a null id stay as they are."""
-    found = contamination(docs, items, id_col, text_col, **options).where("n_hit > 0")
-    marks = found.groupBy(F.col(id_col).alias("id")).agg(F.first("spans").alias("spans"), F.max(contaminated(one_in)).alias("out"))
-    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))  # no name can clash inside
+    of at least `min_words` words is cut. Each row is judged on its own text, whatever its id; ids are not read."""
+    rows = _rows(docs)
+    found = _in_rows(rows, items, text_col, **options).where("n_hit > 0")
+    marks = found.select("id", "spans", contaminated(one_in).alias("out"))
     joined = rows.join(marks, "id", "left").where(~F.coalesce("out", F.lit(False)))
     long_spans = F.filter("spans", lambda s: s["end"] - s["start"] >= min_words)
 
@@ -259,7 +269,19 @@ def clean_texts(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 20, **options) -> DataFrame:
-    """`docs` without the documents with one hit word in `one_in` words or more; all others stay as they are."""
-    bad = contamination(docs, items, id_col, text_col, **options).where(contaminated(one_in)).select(F.col(id_col).alias("id")).distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))  # no name can clash inside
+    """`docs` without the documents with one hit word in `one_in` words or more; all others stay as they are. Each row is
+    judged on its own text, whatever its id; ids are not read."""
+    rows = _rows(docs)
+    bad = _in_rows(rows, items, text_col, **options).where(contaminated(one_in)).select("id")
     return rows.join(bad, "id", "left_anti").select("row.*")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(id, row): each row of `docs` as a struct, in which no name can clash, and a number of its own that stays."""
+    return spool(docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")), "rows")
+
+
+def _in_rows(rows: DataFrame, items: DataFrame, text_col: str, item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """contamination() of `rows`, by their numbers."""
+    texts = rows.select("id", F.col("row").getField(text_col).cast("string").cast("binary").alias("text"))
+    return _found(texts, items, item_id, item_text, window, block_words)

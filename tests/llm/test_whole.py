@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -65,3 +67,22 @@ def test_near_duplicates_on_a_table_are_those_of_all_pairs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: r.component_id for r in shingle_groups(docs).collect()} == plain_similar_groups(texts)
+
+
+@pytest.mark.parametrize("block_words", [200_000, 15])
+def test_benchmark_hits_belong_to_rows_and_not_to_ids(spark, block_words):
+    from kinweave.llm.decontaminate import clean_texts, contamination, drop_contaminated
+
+    first, second = " ".join(f"a{i}" for i in range(13)), " ".join(f"b{i}" for i in range(13))
+    items = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string")
+    rows = [(None, first), (None, second + " x"), (None, "clean"), (7, first + " " + second), (7, "other"), (7, first), (8, "w " * 400 + second), (8, "w " * 400), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, ",".join(r["items"])) for r in contamination(docs, items, block_words=block_words).collect())
+    want = [("None", 13, 13, "1"), ("None", 14, 13, "2"), ("None", 1, 0, ""), ("7", 26, 26, "1,2"), ("7", 1, 0, ""), ("7", 13, 13, "1"), ("8", 413, 13, "2"), ("8", 400, 0, ""), ("9", 0, 0, "")]
+    assert got == sorted(want)
+    kept = drop_contaminated(docs, items, block_words=block_words).collect()
+    left = [(None, "clean"), (7, "other"), (8, "w " * 400 + second), (8, "w " * 400), (9, None)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, left))
+    cut = clean_texts(docs, items, block_words=block_words).collect()
+    left[2] = (8, "w " * 400)
+    assert sorted(map(str, map(tuple, cut))) == sorted(map(str, left))
