@@ -1,9 +1,10 @@
 """URL filter: character language-model ratio, under domain rules.
 
-Two variable-order Markov models of characters, one of accepted and one of rejected URLs, are counted by Spark over all
-labelled URLs. Contexts are hashed, so a model is a fixed number of cells whatever the input; each order backs off to the
-shorter one by Witten-Bell smoothing. A URL's score is the difference of its log-likelihoods divided by its length. The
-threshold comes from URLs held out of the counts.
+Two variable-order Markov models of bytes, one of accepted and one of rejected URLs, are counted by Spark over all labelled
+URLs. Counts are exact, for each n-gram as it is, in tables that grow with the input and stay distributed; each order backs
+off to the shorter one by Witten-Bell smoothing. The log ratio of a character depends on its n-gram alone, so it is worked
+out once a distinct n-gram and joined to the n-grams of URLs. A URL's score is the sum divided by its length. The threshold
+comes from URLs held out of the counts.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-ORDER, BUCKETS, SYMBOLS = 4, 2048, 128
-CELLS = BUCKETS * SYMBOLS
+from kinweave.runtime import spool
+
+#: An n-gram is a number of ORDER + 1 symbols of WIDTH bits, the last one lowest: 0 before the URL, else its byte plus one, A-Z lower-cased.
+ORDER, SYMBOLS, WIDTH = 4, 256, 9
+#: Log ratios are summed as whole multiples of 1 / SCALE, so that no order of summing matters.
+SCALE = 1 << 32
 
 #: Words in host names that mark a URL as rejected when no labels are given.
 REJECT_WORDS = ("casino", "poker", "bets", "lottery", "jackpot", "pills", "pharma", "viagra", "replica", "spam", "ads-", "adserv", "porn", "xxx", "escort", "payday", "warez", "torrent")
@@ -58,88 +61,66 @@ def first_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<verdict: string, rule: string>")
 
 
-_FOLD = np.array([48 if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c if 0 < c < 127 else 127 for c in range(256)], np.uint8)
+_SYMBOL = np.array([c + 33 if 65 <= c <= 90 else c + 1 for c in range(256)], np.int64)
 
 
-def _cells(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, owner): for each order (row) and character the cell of its context and itself; the URL of each character."""
-    sizes = np.array([len(u) for u in urls], np.int64)
-    flat = np.frombuffer((b"\0" * ORDER).join([b"", *urls]), np.uint8)
-    padded = np.where(flat == 0, 0, _FOLD[flat]).astype(np.uint64)
-    starts = ORDER * np.arange(1, len(urls) + 1) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owner = np.repeat(np.arange(len(urls)), sizes)
-    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-    rows, context = [padded[at]], np.zeros(len(at), np.uint64)
-    for order in range(1, ORDER + 1):
-        context = context * np.uint64(131) + padded[at - order] + np.uint64(1)
-        bucket = (context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
-        rows.append(bucket * np.uint64(SYMBOLS) + padded[at])
-    return np.array(rows, np.int64), owner
+def grams(url: bytes) -> np.ndarray:
+    """For each byte the n-gram that ends there."""
+    padded = np.concatenate([np.zeros(ORDER, np.int64), _SYMBOL[np.frombuffer(url, np.uint8)]])
+    out = np.zeros(len(url), np.int64)
+    for at in range(ORDER + 1):
+        out = (out << WIDTH) | padded[at : at + len(url)]
+    return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros((2, ORDER + 1, CELLS), np.int64)
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, accepted, gram, times): the n-grams of each row that is counted or scored."""
     for batch in batches:
-        labels = batch.column("accepted").to_pylist()
-        urls = batch.column("url").to_pylist()
-        for label in (False, True):
-            own = [u for u, x in zip(urls, labels, strict=True) if x is label and u]
-            if own:
-                cells, _ = _cells(own)
-                for order in range(ORDER + 1):
-                    totals[int(label), order] += np.bincount(cells[order], minlength=CELLS)
-    flat = totals.reshape(-1)
-    used = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["cell", "n"])
-
-
-class UrlModel:
-    """Counts of both models, and a score for URLs."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float32)
-        by_context = self.counts.reshape(2, ORDER + 1, BUCKETS, SYMBOLS)
-        self.kinds = (by_context > 0).sum(axis=3).astype(np.float32)
-        self.mass = by_context.sum(axis=3) + self.kinds
-
-    def score(self, urls: list[bytes]) -> np.ndarray:
-        """Log-likelihood when accepted minus when rejected, for each character on average; 0 for an empty URL."""
-        out = np.zeros(len(urls))
-        if not any(urls):
-            return out
-        cells, owner = _cells(urls)
-        logs = []
-        for model in (1, 0):
-            p = np.full(cells.shape[1], 1.0 / SYMBOLS)
-            for order in range(ORDER + 1):
-                bucket = cells[order] // SYMBOLS
-                mass, kinds = self.mass[model, order, bucket], self.kinds[model, order, bucket]
-                p = np.where(mass > 0, (self.counts[model, order, cells[order]] + kinds * p) / np.maximum(mass, 1), p)
-            logs.append(np.log(p))
-        np.add.at(out, owner, logs[0] - logs[1])
-        return out / np.maximum([len(u) for u in urls], 1)
-
-
-def train(labelled: DataFrame) -> UrlModel | None:
-    """Model of `labelled` (url binary, accepted boolean); None if either label has no URL. The counts, at most two models'
-    cells, come to the driver; rows without a label are left out."""
-    sums = labelled.where("accepted is not null").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = sums.toArrow()
-    counts = np.zeros(2 * (ORDER + 1) * CELLS, np.int64)
-    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    counts = counts.reshape(2, ORDER + 1, CELLS)
-    return UrlModel(counts) if counts[0, 0].any() and counts[1, 0].any() else None
-
-
-def _scored(rows: DataFrame, model: UrlModel) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model.counts)
-
-    def score(batches):
-        own = UrlModel(shared.value)
-        for urls in batches:
-            yield pd.Series(own.score([u or b"" for u in urls]))
-
-    return rows.withColumn("score", pandas_udf(score, "double", PandasUDFType.SCALAR_ITER)("url"))
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            ns, labels, found = [], [], []
+            for n, label, url in zip(*(part.column(c).to_pylist() for c in ("n", "accepted", "url")), strict=True):
+                if url:
+                    found.append(np.unique(grams(url), return_counts=True))
+                    ns.append(n)
+                    labels.append(label)
+            if not found:
+                continue
+            sizes = [len(g) for g, _ in found]
+            which = pa.array(np.repeat(np.arange(len(ns)), sizes))
+            columns = [pa.array(ns, pa.int64()).take(which), pa.array(labels, pa.bool_()).take(which)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True))], names=["n", "accepted", "gram", "times"])
+
+
+def log_ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, ratio) for each of `wanted` (gram, distinct): log-likelihood of its last symbol when accepted minus when
+    rejected, from `counts` (gram, yes, no). The shorter orders' counts are sums over the n-grams' ends."""
+    out = wanted.select("gram", F.lit(1.0 / SYMBOLS).alias("p_yes"), F.lit(1.0 / SYMBOLS).alias("p_no"))
+    for order in range(ORDER + 1):
+        end = F.col("gram").bitwiseAND(F.lit((1 << WIDTH * (order + 1)) - 1))
+        own = counts.groupBy(end.alias("end")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        mass = own.groupBy(F.shiftright("end", WIDTH).alias("context")).agg(
+            *[f for x in ("yes", "no") for f in (F.sum(x).alias(f"sum_{x}"), F.count(F.when(F.col(x) > 0, 1)).alias(f"kinds_{x}"))]
+        )
+        joined = out.withColumn("end", end).withColumn("context", F.shiftright("end", WIDTH)).join(own, "end", "left").join(mass, "context", "left")
+        p = {x: F.when(F.col(f"sum_{x}") > 0, (F.coalesce(x, F.lit(0)) + F.col(f"kinds_{x}") * F.col(f"p_{x}")) / (F.col(f"sum_{x}") + F.col(f"kinds_{x}"))).otherwise(F.col(f"p_{x}")) for x in ("yes", "no")}
+        out = joined.select("gram", p["yes"].alias("p_yes"), p["no"].alias("p_no"))
+    return out.select("gram", (F.ln("p_yes") - F.ln("p_no")).alias("ratio"))
+
+
+def scored(rows: DataFrame) -> DataFrame | None:
+    """`rows` (n distinct, url binary, accepted boolean, held boolean) with a score, 0 for an empty URL, from models of the
+    labelled rows that are not held; None if either label has no URL."""
+    every = spool(rows.select("n", F.when(~F.col("held"), F.col("accepted")).alias("accepted"), "url").mapInArrow(_grams_of, "n long, accepted boolean, gram long, times long"), "grams")
+    yes, no = (F.sum(F.when(x, F.col("times")).otherwise(F.lit(0))) for x in (F.col("accepted"), ~F.col("accepted")))
+    table = spool(every.groupBy("gram").agg(yes.alias("yes"), no.alias("no")), "counts")
+    counts = table.where("yes > 0 or no > 0")
+    seen = counts.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
+    if not seen.yes or not seen.no:
+        return None
+    ratios = log_ratios(counts, table.select("gram")).select("gram", F.round(F.col("ratio") * SCALE).cast("long").alias("ratio"))
+    sums = every.select("n", "gram", "times").join(ratios, "gram").groupBy("n").agg(F.sum(F.col("ratio") * F.col("times")).alias("total"))
+    return rows.join(sums, "n", "left").withColumn("score", F.coalesce(F.col("total") / F.lit(float(SCALE)) / F.length("url"), F.lit(0.0))).drop("total")
 
 
 def calibrate(scored: DataFrame, max_false_rejects: float = 0.01, bins: int = 1024, reach: float = 8.0) -> float:
@@ -169,13 +150,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
         accepted = ~host.rlike("|".join(REJECT_WORDS).replace("-", r"\-"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").cast("binary").alias("url"), host.alias("host"), path.alias("path"), accepted.alias("accepted"))
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    model = train(rows.where(~held).select("url", "accepted"))
-    if model is None:
-        scored, low = rows.withColumn("score", F.lit(None).cast("double")), 0.0
+    rows = spool(rows.withColumn("held", held).withColumn("n", F.monotonically_increasing_id()), "urls")
+    found = scored(rows)
+    if found is None:
+        found, low = rows.withColumn("score", F.lit(None).cast("double")), 0.0
     else:
-        scored = _scored(rows, model)
-        low = calibrate(_scored(rows.where(held), model), max_false_rejects)
+        found = spool(found, "scores")
+        low = calibrate(found.where("held"), max_false_rejects)
     rule = first_rule(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("score") < low) & (F.length("url") > 0), F.lit("block")).otherwise(F.lit("allow"))
-    out = scored.withColumn("__rule", rule)
+    out = found.withColumn("__rule", rule)
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", own).alias("verdict"), "score")

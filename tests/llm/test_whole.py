@@ -86,3 +86,45 @@ def test_benchmark_hits_belong_to_rows_and_not_to_ids(spark, block_words):
     cut = clean_texts(docs, items, block_words=block_words).collect()
     left[2] = (8, "w " * 400)
     assert sorted(map(str, map(tuple, cut))) == sorted(map(str, left))
+
+
+def test_url_scores_come_from_exact_counts_of_bytes(spark):
+    from collections import Counter
+    from math import log
+
+    from kinweave.llm.url_filter import filter_urls
+
+    rng = random.Random(3)
+    urls = ["http://" + "".join(rng.choice("abcdefghij0123456789é中") for _ in range(30)) for _ in range(400)] + ["http://x/é", "http://x/中", "http://x/1", "http://x/2", "", None]
+    labels = [i % 2 == 0 for i in range(len(urls))]
+    df = spark.createDataFrame([(i, u, x) for i, (u, x) in enumerate(zip(urls, labels))], "page_id long, url string, ok boolean")
+    from pyspark.sql import functions as F
+
+    held = {r.page_id for r in df.where(F.pmod(F.xxhash64(F.col("url").cast("binary")), F.lit(5)) == 0).collect()}
+    got = {r.page_id: r.score for r in filter_urls(df, [], accepted=F.col("ok")).collect()}
+    counts = {True: Counter(), False: Counter()}
+    ends = lambda u: [(b"\xff" * 4 + u)[i : i + 5] for i in range(len(u))]
+    for i, u in enumerate(urls):
+        if u and i not in held:
+            counts[labels[i]].update(g[4 - k :] for g in ends(u.encode()) for k in range(5))
+    mass, kinds = {}, {}
+    for x in counts:
+        mass[x], kinds[x] = Counter(), Counter()
+        for g, n in counts[x].items():
+            mass[x][g[:-1], len(g)] += n
+            kinds[x][g[:-1], len(g)] += 1
+
+    def plain(u):
+        total = 0.0
+        for g in ends(u):
+            for x, sign in ((True, 1), (False, -1)):
+                p = 1 / 256
+                for k in range(5):
+                    e = g[4 - k :]
+                    m, d = mass[x][e[:-1], len(e)], kinds[x][e[:-1], len(e)]
+                    p = (counts[x][e] + d * p) / (m + d) if m else p
+                total += sign * log(p)
+        return total / len(u) if u else 0.0
+
+    for i, u in enumerate(urls):
+        assert abs(got[i] - plain((u or "").encode())) < 1e-8, u
