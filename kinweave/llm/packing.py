@@ -3,9 +3,9 @@
 Documents become token pieces of at most `capacity` tokens. What to put together is decided on the histogram of piece
 lengths, at most `capacity` numbers, on the driver: for each length from the longest down, an index of single, pair and
 triple sums of the lengths still available is asked for one that fills the gap exactly, and as many sequences as the
-availability counts allow are planned at once. Lengths without an exact complement are best-fit, longest first. The plan
-(a few thousand patterns, whatever the number of documents) goes to the tasks; a piece finds its sequence from its length
-and its gapless number among the pieces of that length.
+availability counts allow are planned at once. A length without an exact complement starts open sequences, which shorter
+lengths then best-fit. The plan (a few thousand patterns, whatever the number of documents) goes to the tasks; a piece finds
+its sequence from its length and its gapless number among the pieces of that length.
 """
 
 from __future__ import annotations
@@ -91,12 +91,16 @@ class _Sums:
             self.stale = False
         return self.pair_bits
 
-    def filling(self, gap: int) -> tuple[int, ...] | None:
-        """Up to three available lengths, longest first, that sum to the gap; the fewest, then the longest."""
-        if self.counts[gap] > 0:
+    def filling(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """At most `most` (up to three) available lengths, longest first, that sum to the gap; the fewest, then the longest."""
+        if not gap:
+            return ()
+        if most and self.counts[gap] > 0:
             return (gap,)
-        if pair := self._pair(gap):
+        if most > 1 and (pair := self._pair(gap)):
             return pair
+        if most < 3:
+            return None
         pairs = self._pair_index()
         for x in np.flatnonzero(self.counts[:gap] > 0)[::-1]:
             x = int(x)
@@ -110,68 +114,96 @@ class _Sums:
                     return tuple(sorted((x, *found), reverse=True))
         return None
 
+    def beside(self, own: tuple[int, ...], gap: int, most: int) -> tuple[int, ...] | None:
+        """filling() of a gap while the lengths `own` are taken."""
+        for x in own:
+            self.counts[x] -= 1
+        found = self.filling(gap, most)
+        for x in own:
+            self.counts[x] += 1
+        return found
+
+    def times(self, lengths: tuple[int, ...]) -> int:
+        """How often these lengths can be had together."""
+        return min(int(self.counts[x]) // lengths.count(x) for x in set(lengths))
+
 
 def plan_packing(histogram: dict[int, int], capacity: int = 2048) -> list[Pattern]:
-    """Patterns that use each length exactly as often as the histogram says, none over `capacity`."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
+    """Patterns that use each length exactly as often as the histogram says, none over `capacity`.
+
+    Exact fills by up to three pieces are tried first. As they can take pieces that longer ones need later, plans with fills of
+    up to two, one and no pieces are made too until one meets the lower bound; the one with the fewest sequences is taken, so
+    that it never has more than best fit alone.
+    """
+    for length in histogram:
         if not 0 < length <= capacity:
             raise ValueError(f"a piece of {length} tokens does not fit")
+    least = -(-sum(length * n for length, n in histogram.items()) // capacity)
+    best: list[Pattern] | None = None
+    fewest = 0
+    for most in (3, 2, 1, 0):
+        plan = _planned(histogram, capacity, most)
+        n = sum(p.times for p in plan)
+        if best is None or n < fewest:
+            best, fewest = plan, n
+        if fewest <= least:
+            break
+    return best
+
+
+#: Pieces of one length that start a sequence together at most while its gap is looked up.
+ALIKE = 8
+
+
+def _planned(histogram: dict[int, int], capacity: int, most: int) -> list[Pattern]:
+    """Longest first: a length goes into the least open gap that holds it, together with lengths that fill the rest of that
+    gap exactly; without such a gap it starts sequences, exactly filled where sums of available lengths do so, else open."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
         counts[length] = n
-    patterns, left, sums = [], {}, _Sums(counts)
-    for length in range(capacity, 0, -1):
-        while counts[length] > 0:
-            if length == capacity:
-                found: tuple[int, ...] | None = ()
-            else:
-                counts[length] -= 1
-                found = sums.filling(capacity - length)
-                counts[length] += 1
-            if found is None:
-                left[length] = int(counts[length])
-                counts[length] = 0
-                sums.stale = True
-                break
-            lengths = (length, *found)
-            times = min(int(counts[x]) // lengths.count(x) for x in set(lengths))
-            patterns.append(Pattern(lengths, times))
-            sums.use(lengths, times)
-    return patterns + _best_fit(left, capacity)
-
-
-def _best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """Best fit, longest first, on groups of equal sequences."""
+    sums, patterns = _Sums(counts), []
     open_: dict[int, list[list]] = {}
     gaps = 0  # bit g: some open sequence has a gap of g
 
     def put(lengths: tuple[int, ...], times: int) -> None:
         nonlocal gaps
-        gap = capacity - sum(lengths)
-        open_.setdefault(gap, []).append([lengths, times])
-        gaps |= 1 << gap
-
-    for length in sorted(counts, reverse=True):
-        n = counts[length]
-        while n:
-            fits = gaps >> length
-            if not fits:
-                each = capacity // length
+        lengths = tuple(sorted(lengths, reverse=True))
+        if gap := capacity - sum(lengths):
+            open_.setdefault(gap, []).append([lengths, times])
+            gaps |= 1 << gap
+        else:
+            patterns.append(Pattern(lengths, times))
+
+    for length in range(capacity, 0, -1):
+        while n := int(counts[length]):
+            if fits := gaps >> length:
+                gap = (fits & -fits).bit_length() - 1 + length
+                group = open_[gap][-1]
+                new = (length, *(sums.beside((length,), gap - length, most) or ()))
+                times = min(group[1], sums.times(new))
+                group[1] -= times
+                if not group[1]:
+                    open_[gap].pop()
+                    if not open_[gap]:
+                        gaps ^= 1 << gap
+                put((*group[0], *new), times)
+                sums.use(new, times)
+                continue
+            each = capacity // length
+            for k in range(1, min(each, n, ALIKE) + 1):
+                own = (length,) * k
+                if (found := sums.beside(own, capacity - k * length, most)) is not None:
+                    times = sums.times((*own, *found))
+                    put((*own, *found), times)
+                    sums.use((*own, *found), times)
+                    break
+            else:
                 if n >= each:
                     put((length,) * each, n // each)
                 if n % each:
                     put((length,) * (n % each), 1)
-                break
-            gap = (fits & -fits).bit_length() - 1 + length
-            group = open_[gap][-1]
-            times = min(n, group[1])
-            group[1] -= times
-            if not group[1]:
-                open_[gap].pop()
-                if not open_[gap]:
-                    gaps ^= 1 << gap
-            put((*group[0], length), times)
-            n -= times
-    return [Pattern(lengths, times) for groups in open_.values() for lengths, times in groups]
+                sums.use((length,), n)
+    return patterns + [Pattern(lengths, times) for groups in open_.values() for lengths, times in groups]
 
 
 _BASE = 1 << 48

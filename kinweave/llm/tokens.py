@@ -31,7 +31,8 @@ class Remembered:
 
 
 class WordEncoder:
-    """Little-endian unsigned 32-bit ids of a text, without special tokens.
+    """Little-endian unsigned 32-bit ids of a text, as the library's encode(add_special_tokens=False) has them: none is added,
+    and the name of a special token inside a text is that token.
 
     White space never joins tokens here, so a text's ids are those of its parts between ASCII white space. A part is encoded
     once while it is remembered. Plain words, with a full stop or comma after them or not, go straight to the model; other
@@ -40,7 +41,8 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.parts, self.words = Remembered(), Remembered()
 
@@ -60,7 +62,8 @@ class WordEncoder:
         if part[-1] in b".," and part[:-1].isalpha():
             return self._word(part[:-1].lower().decode()) + self._word(chr(part[-1]))
         text = part.decode()
-        if max(text) <= "\xff" and min(text) > " " and "\x7f" not in text and not any("\x80" <= c <= "\xa0" for c in text):
+        plain = self.added is None or not self.added.search(text)
+        if plain and max(text) <= "\xff" and min(text) > " " and "\x7f" not in text and not any("\x80" <= c <= "\xa0" for c in text):
             return b"".join([self._word(w) for w in PATTERN.findall(text.lower())])
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)

@@ -206,8 +206,7 @@ def test_awkward_texts_are_encoded_as_by_the_tokenizer():
     from kinweave.llm.tokens import WordEncoder
 
     tok, own = Tokenizer.from_file(PACKING_TOKENIZER), WordEncoder(PACKING_TOKENIZER)
-    tok.encode_special_tokens = True
-    for t in [*AWKWARD, "Ünï don't DON'T'll 3.14 e\u0301 \u2003x ½ ² µ ª º × ÷ \xad a\xadb", "ΑΣ ΑΣ. Dž ŉ ẞ", "\ufeffa \u200bb"]:
+    for t in [*AWKWARD, "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>.", "<|endof text|>", "Ünï don't DON'T'll 3.14 e\u0301 \u2003x ½ ² µ ª º × ÷ \xad a\xadb", "ΑΣ ΑΣ. Dž ŉ ẞ", "\ufeffa \u200bb"]:
         assert list(struct.unpack(f"<{len(own.encode((t or '').encode())) // 4}I", own.encode((t or "").encode()))) == tok.encode(t or "", add_special_tokens=False).ids
 
 
@@ -225,6 +224,18 @@ def test_plans_use_each_piece_once_and_fill_well(histogram):
     assert sum(p.times for p in plan) <= bins * 1.07 + 1
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 50), max_size=25))
+def test_plans_never_have_more_sequences_than_best_fit(histogram):
+    assert sum(p.times for p in plan_packing(histogram, 40)) <= first_fit(histogram, 40)
+
+
+def test_small_pieces_are_left_for_the_gaps_of_long_ones():
+    number = lambda h, capacity: sum(p.times for p in plan_packing(h, capacity))
+    assert number({1: 1, 10: 8, 21: 8}, 40) == 8 and number({10: 800, 21: 800, 1: 1}, 40) == 800
+    assert number({512: 4000, 1100: 4000}, 2048) == 4000
+
+
 def first_fit(histogram, capacity):
     room = []
     for x in sorted(Counter(histogram).elements(), reverse=True):
