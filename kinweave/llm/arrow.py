@@ -8,18 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 #: Rows that a function sees at once, so that a batch of very long texts stays small.
 ROWS = 500
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, raw: tuple[str, ...] = ()) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType, raw: tuple[str, ...] = ()) -> DataFrame:
     """`make()` runs once a task and returns a function from columns to columns, which then gets at most ROWS rows a call.
 
     It gets lists, or Arrow arrays for columns named in `raw`, and may return either.
     """
-    out: pa.Schema = to_arrow_schema(_schema(schema))
+    out: pa.Schema = to_arrow_schema(_schema(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -36,6 +36,19 @@ def _schema(text: str) -> StructType:
     return _parse_datatype_string(text)
 
 
+def with_rows(docs: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]], schema: str, text_col: str = "text") -> DataFrame:
+    """(n, row, *schema): each row of `docs` as a struct, in which no name can clash, a number of its own, and what the
+    function that `make` returns finds in the texts. Rows pass through as they are. Spool it before n is used twice."""
+    kind = StructType([StructField("n", LongType(), False), StructField("row", docs.schema, False), *_schema(schema).fields])
+    rows = docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"), as_bytes(text_col, "text"))
+
+    def made():
+        step = make()
+        return lambda cols: {"n": cols["n"], "row": cols["row"]} | step(cols["text"])
+
+    return map_batches(rows, made, kind, raw=("n", "row"))
+
+
 def as_bytes(column: str, name: str | None = None):
     """The UTF-8 bytes of a text column; null stays null."""
     return F.col(column).cast("string").cast("binary").alias(name or column)

@@ -9,13 +9,13 @@ each, so that the size of what is sent stays bounded; the documents then pass on
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import as_bytes, map_batches
+from kinweave.llm.arrow import as_bytes, map_batches, with_rows
 from kinweave.runtime import spool
 
 #: Bytes to their lower case where they belong to words, else to a space: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z to a-z.
@@ -139,7 +139,13 @@ class SuffixAutomaton:
         return [tuple(s) for s in spans], names
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterable[list[tuple[str | None, list[bytes]]]]:
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> tuple[list, Iterator]:
+    """The first block of items, or two where there are more, and the rest as they are asked for."""
+    blocks = _in_blocks(items, item_id, item_text, block_words)
+    return list(islice(blocks, 2)), blocks
+
+
+def _in_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in blocks of at most block_words words (one longer item is a block of its own), read one partition at a time."""
     block, size = [], 0
     for row in items.select(F.col(item_id).cast("string").alias("i"), as_bytes(item_text, "t")).toLocalIterator():
@@ -155,7 +161,11 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) ->
 _built: dict[str, SuffixAutomaton] = {}
 
 
-def _scan_block(docs: DataFrame, block: list, window: int) -> DataFrame:
+_FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+
+
+def _scanner(docs: DataFrame, block: list, window: int):
+    """What map_batches() and with_rows() need to scan texts for one block of items."""
     shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def make():
@@ -164,9 +174,9 @@ def _scan_block(docs: DataFrame, block: list, window: int) -> DataFrame:
             _built[key] = SuffixAutomaton(shared.value, window)
         automaton = _built[key]
 
-        def step(cols):
-            out = {"id": cols["id"], "n_words": [], "spans": [], "items": []}
-            for text in cols["text"]:
+        def step(texts):
+            out = {"n_words": [], "spans": [], "items": []}
+            for text in texts:
                 words = words_of(text)
                 spans, names = automaton.scan(words)
                 out["n_words"].append(len(words))
@@ -176,7 +186,18 @@ def _scan_block(docs: DataFrame, block: list, window: int) -> DataFrame:
 
         return step
 
-    return map_batches(docs, make, "id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
+    return make
+
+
+def _scan_block(docs: DataFrame, block: list, window: int) -> DataFrame:
+    """`docs` (id, text) with what is found instead of the text."""
+    scanner = _scanner(docs, block, window)
+
+    def make():
+        step = scanner()
+        return lambda cols: {"id": cols["id"]} | step(cols["text"])
+
+    return map_batches(docs, make, f"id long, {_FOUND}")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -188,19 +209,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Rows are told apart by their place, never by id, so neither null or repeated ids nor the number of blocks matter. With
     several blocks of items the texts are written once to the shared folder, and the blocks' hits meet in a shuffle.
     """
-    return _found(docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col, "text")), items, item_id, item_text, window, block_words).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col, "text"))
+    return _found(rows, *_blocks(items, item_id, item_text, block_words), window).withColumnRenamed("id", id_col)
 
 
-def _found(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> DataFrame:
+def _found(rows: DataFrame, held: list, more: Iterator, window: int) -> DataFrame:
     """(id, n_words, n_hit, spans, items) for each of `rows` (id, text)."""
-    blocks = _blocks(items, item_id, item_text, block_words)
-    held = list(islice(blocks, 2))
     if len(held) == 1:
         table = _scan_block(rows, held[0], window)
     else:
         numbered = spool(rows.select("id", "text", F.monotonically_increasing_id().alias("n")), "texts")
         met = None
-        for block in chain(held, blocks):
+        for block in chain(held, more):
             found = _scan_block(numbered.select(F.col("n").alias("id"), "text"), block, window)
             hits = found.where("size(spans) > 0")
             base, met = (found.select("id", "n_words"), hits) if met is None else (base, met.unionByName(hits))
@@ -209,8 +229,11 @@ def _found(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, wind
         joined = numbered.select("n", F.col("id").alias("own")).join(base.withColumnRenamed("id", "n"), "n").join(met.withColumnRenamed("id", "n"), "n", "left")
         none_s, none_i = F.array().cast("array<struct<start: long, end: long>>"), F.array().cast("array<string>")
         table = joined.select(F.col("own").alias("id"), "n_words", F.coalesce("spans", none_s).alias("spans"), F.coalesce("items", none_i).alias("items"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return table.select("id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return table.select("id", "n_words", _n_hit().alias("n_hit"), "spans", "items")
+
+
+def _n_hit():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
 
 
 def _merged(spans: str):
@@ -250,38 +273,33 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def clean_texts(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, one_in: int = 20, **options) -> DataFrame:
     """`docs` without benchmark text: documents with one hit word in `one_in` or more go, and from the others every span
-    of at least `min_words` words is cut. Each row is judged on its own text, whatever its id; ids are not read."""
-    rows = _rows(docs)
-    found = _in_rows(rows, items, text_col, **options).where("n_hit > 0")
-    marks = found.select("id", "spans", contaminated(one_in).alias("out"))
-    joined = rows.join(marks, "id", "left").where(~F.coalesce("out", F.lit(False)))
+    of at least `min_words` words is cut; rows without such a span stay as they are. Each row is judged on its own text,
+    whatever its id; ids are not read. Null and empty texts stay; an empty table gives no rows."""
+    found = _marked(docs, items, text_col, **options).where(~contaminated(one_in))
     long_spans = F.filter("spans", lambda s: s["end"] - s["start"] >= min_words)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
         import pandas as pd
 
-        return pd.Series([cut_spans(t, [(s["start"], s["end"]) for s in ss]) for t, ss in zip(texts, spans, strict=True)], dtype=object)
+        return pd.Series([cut_spans(t, [(s["start"], s["end"]) for s in ss]) if len(ss) else t for t, ss in zip(texts, spans, strict=True)], dtype=object)
 
-    whole = joined.where("out is null").select("row.*")
-    parts = joined.where("out is not null").select(F.col("row").withField(text_col, cut(F.col(f"row.{text_col}"), long_spans)).alias("row"))
-    return whole.unionByName(parts.select("row.*"))
+    own = F.col("row")
+    return found.select("row", long_spans.alias("long")).select(own.withField(text_col, cut(own.getField(text_col), "long")).alias("row")).select("row.*")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 20, **options) -> DataFrame:
     """`docs` without the documents with one hit word in `one_in` words or more; all others stay as they are. Each row is
-    judged on its own text, whatever its id; ids are not read."""
-    rows = _rows(docs)
-    bad = _in_rows(rows, items, text_col, **options).where(contaminated(one_in)).select("id")
-    return rows.join(bad, "id", "left_anti").select("row.*")
-
+    judged on its own text, whatever its id; ids are not read. Null and empty texts stay; an empty table gives no rows."""
+    return _marked(docs, items, text_col, **options).where(~contaminated(one_in)).select("row.*")
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(id, row): each row of `docs` as a struct, in which no name can clash, and a number of its own that stays."""
-    return spool(docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")), "rows")
 
-
-def _in_rows(rows: DataFrame, items: DataFrame, text_col: str, item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """contamination() of `rows`, by their numbers."""
-    texts = rows.select("id", F.col("row").getField(text_col).cast("string").cast("binary").alias("text"))
-    return _found(texts, items, item_id, item_text, window, block_words)
+def _marked(docs: DataFrame, items: DataFrame, text_col: str, item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(row, n_words, n_hit, spans) for each row of `docs`. For one block of items the rows pass through the scan, without a
+    shuffle; for several they are written once, and what is found is joined to them by row number."""
+    held, more = _blocks(items, item_id, item_text, block_words)
+    if len(held) == 1:
+        return with_rows(docs, _scanner(docs, held[0], window), _FOUND, text_col).select("row", "n_words", _n_hit().alias("n_hit"), "spans")
+    rows = spool(docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")), "rows")
+    found = _found(rows.select("id", F.col("row").getField(text_col).cast("string").cast("binary").alias("text")), held, more, window)
+    return rows.join(found, "id").select("row", "n_words", "n_hit", "spans")

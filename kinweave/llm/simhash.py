@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import as_bytes, map_batches
+from kinweave.llm.arrow import as_bytes, map_batches, with_rows
 from kinweave.operators.components import connected_components
 from kinweave.runtime import spool
 
@@ -141,10 +141,12 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, local_li
     masks = block_masks(blocks or plan_blocks(fps.count(), distance), distance)
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
-    sized = keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).where("m > 1")
-    small = sized.where(F.col("m") <= local_limit).select("fp", "m").mapInArrow(_links_in_keys(distance), "src long, dst long")
-    crowded = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > local_limit).select("t", "key")
-    if crowded.isEmpty():
+    crowded = spool(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > local_limit).select("t", "key"), "crowded")
+    some = not crowded.isEmpty()
+    rest = keyed.join(crowded, ["t", "key"], "left_anti") if some else keyed  # no crowded key reaches the window
+    sized = rest.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).where("m > 1")
+    small = sized.select("fp", "m").mapInArrow(_links_in_keys(distance), "src long, dst long")
+    if not some:
         return small.distinct()
     return small.unionByName(_links_by_flips(keyed.join(crowded, ["t", "key"]), masks, distance)).distinct()
 
@@ -164,6 +166,36 @@ def _links_by_flips(keyed: DataFrame, masks: list[int], distance: int) -> DataFr
     return near.join(hub, ["t", "key", "value"]).where("fp <> dst").select(F.col("fp").alias("src"), "dst")
 
 
+def firsts(prints: DataFrame) -> DataFrame:
+    """(key, v) from prints (n, id, key): the vertex v of a key tells whether it has no id, its least id, the key, and the
+    least n of a row with that id. Vertices are ordered by id, then key; keys without ids come last."""
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "n"))
+    return prints.groupBy("key").agg(least.alias("f")).select("key", F.struct("f.none", "f.id", "key", "f.n").alias("v"))
+
+
+def rooted(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, v, root): for each of `vertices` (key, v) the least vertex that `edges` (src, dst: keys) reach.
+
+    Edges are relabelled first, so that a component's name is the answer and no component meets in a join.
+    """
+    end = lambda name: vertices.select(F.col("key").alias(name), F.col("v").alias(f"v_{name}"))
+    found = connected_components(edges.join(end("src"), "src").join(end("dst"), "dst"), "v_src", "v_dst")
+    found = found.select(F.col("vertex.key").alias("key"), F.col("component").alias("root"))
+    return vertices.join(found, "key", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
+
+
+def least_id(root: str = "root"):
+    return F.when(~F.col(f"{root}.none"), F.col(f"{root}.id"))
+
+
+def kept_rows(table: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of `table` (n, row, id, key), spooled, one row a group, as it was: that with the least id; and one row an id, that
+    with the least key and number. Rows with a null id always stay. Those that go are joined, not those that stay."""
+    stay = roots.where("v = root and not v.none").groupBy("v.id").agg(F.min("v.key").alias("key"), F.min_by("v.n", "v.key").alias("n")).select("n")
+    gone = table.where("id is not null").select("n").join(stay, "n", "left_anti")
+    return table.join(gone, "n", "left_anti").select("row.*")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, **options) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of `docs`.
 
@@ -172,27 +204,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty table gives no rows. Only ids and fingerprints are shuffled. Columns beyond the two are not read.
     """
     prints = spool(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    first = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
-    linked = connected_components(links(first, distance, **options)).select(F.col("vertex").alias("fp"), "component")
-    where = first.join(linked, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = where.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = where.join(least, "component").select("fp", "component_id")
+    vertices = spool(firsts(prints.select(F.col(id_col).alias("id"), F.col("fp").alias("key"), F.lit(0).alias("n"))), "vertices")
+    roots = rooted(vertices, links(vertices.select(F.col("key").alias("fp")), distance, **options))
+    labels = roots.select(F.col("key").alias("fp"), least_id().alias("component_id"))
     return prints.join(labels, "fp", "left").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the least of its group, with all columns as they were.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, **options) -> DataFrame:
+    """Of each group of linked rows of `docs` the one with the least id, all columns as they were.
 
-    Repeated rows of one id count as copies: one of them stays. Rows with a null id always stay.
+    A row is known by id and fingerprint, so rows of one id may belong to different groups; if several of them are the least of
+    theirs, the one with the least fingerprint (as a signed number) stays, as an id names one document. Rows with a null id
+    always stay, and stand in for none. Null and wordless texts are copies of each other.
     """
-    return keep_least(docs, simhash_groups(docs, id_col, text_col, **options), id_col)
 
+    def make():
+        return lambda texts: {"key": [x - (1 << 64) if (x := fingerprint(t, shingle)) >> 63 else x for t in texts]}
 
-def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """keep_one() for `groups` (id_col, component_id) of any kind."""
-    stay = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))  # no name can clash inside
-    kept = rows.join(stay, "id")
-    once = kept.where("n = 1").select("row.*")
-    repeated = kept.where("n > 1").groupBy("id").agg(F.first("row").alias("row")).select("row.*")
-    return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    table = spool(with_rows(docs, make, "key long", text_col).withColumn("id", F.col("row").getField(id_col).cast("long")), "rows")
+    vertices = spool(firsts(table), "vertices")
+    return kept_rows(table, rooted(vertices, links(vertices.select(F.col("key").alias("fp")), distance, **options)))

@@ -460,18 +460,41 @@ def plain_mask(text):
     return "".join([*out, text[done:]])
 
 
+def plain_cut(text, items, window=13):
+    """`text` without its runs of 13 or more words in occurrences of items' windows."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+    words, hit = [low[a:b] for a, b in places], set()
+    for _, item in items:
+        iw = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), item))
+        size = min(window, len(iw))
+        wins = {tuple(iw[i : i + size]) for i in range(len(iw) - size + 1)} if iw else set()
+        hit |= {k for i in range(len(words) - size + 1 if size else 0) if tuple(words[i : i + size]) in wins for k in range(i, i + size)}
+    out, done, at = [], 0, 0
+    while at < len(words):
+        end = at
+        while end in hit:
+            end += 1
+        if end - at >= window:
+            out.append(text[done : places[at][0]])
+            done = places[end - 1][1]
+        at = max(end, at + 1)
+    return "".join([*out, text[done:]])
+
+
 def test_pipeline_against_a_plain_version(spark):
     import corpus_pipeline
+    from test_whole import plain_similar_groups
 
     sf = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     good = {r.doc_id for r in QUERIES["op2_quality_rules"](spark, sf).where("kept").collect()}
     docs = [(d, t) for d, t in docs if d in good]
-    groups = plain_components({d: fingerprint(t.encode()) for d, t in docs})
+    groups = plain_similar_groups(docs)  # what the stage is told to link: a similarity of 5-word shingles of 0.8
     docs = [(d, t) for d, t in docs if groups[d] == d]
     hits = {d: plain_hits(t, items) for d, t in docs}
-    docs = [(d, plain_mask(t)) for d, t in docs if not (hits[d][1] and 20 * hits[d][1] >= hits[d][0])]
+    docs = [(d, plain_mask(plain_cut(t, items))) for d, t in docs if not (hits[d][1] and 20 * hits[d][1] >= hits[d][0])]
     tok, want = Tokenizer.from_file(PACKING_TOKENIZER), {}
     for d, t in docs:
         ids = [*tok.encode(t, add_special_tokens=False).ids, 0]

@@ -128,3 +128,38 @@ def test_url_scores_come_from_exact_counts_of_bytes(spark):
 
     for i, u in enumerate(urls):
         assert abs(got[i] - plain((u or "").encode())) < 1e-8, u
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    from kinweave.llm.shingles import keep_one_similar
+    from kinweave.llm.simhash import keep_one
+
+    rows = [(3, "a b c d e", 1), (5, "a b c d e", 2), (5, "q r s t u v", 3), (5, "q r s t u v", 4), (None, "a b c d e", 5), (None, "a b c d e", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    want = [(3, "a b c d e"), (5, "q r s t u v"), (None, "a b c d e"), (None, "a b c d e")]
+    for keep in (keep_one, keep_one_similar):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_chains_and_groups_of_near_copies_lose_no_link(spark):
+    from kinweave.llm.shingles import shingle_groups
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(6):  # copies of a text, and copies of these, some links beyond any hub
+        base = [word() for _ in range(90)]
+        for _ in range(8):
+            mine = list(base)
+            for _ in range(6):
+                texts.append(" ".join(mine))
+                mine[rng.randrange(90)] = word()
+    for _ in range(5):  # windows over one text, each like the next alone
+        long = [word() for _ in range(600)]
+        texts += [" ".join(long[i : i + 100]) for i in range(0, 500, 10)]
+    rng.shuffle(texts)
+    docs = list(enumerate([*texts, None, "", "x"]))
+    got = {r.doc_id: r.component_id for r in shingle_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain_similar_groups(docs)
