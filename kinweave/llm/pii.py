@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the entities that fixed rules find. Every mention of a seed, and of a candidate with a looser shape of the same
-kind, yields lexical patterns from the words around it. Patterns and instances form a bipartite graph of distinct edges.
-Rounds score it: a pattern's confidence is the share of known instances among all instances it holds, an instance's score
-combines its patterns'; instances above the bar become known. Only the graph, a few numbers an edge, is shuffled.
+Seeds are the entities that fixed rules find. Every mention of a seed, and of any other token that looks like an identifier,
+yields lexical patterns from the words around it. Patterns and instances form a bipartite graph of distinct edges. Rounds
+score it, until one finds nothing: a pattern is trusted for the kind of entity that it holds most, by what speaks against it
+(entities of other kinds, more unknown instances than known ones); an instance's score combines its patterns'; instances above
+the bar become known, whatever their shape, and vouch for further patterns. Only the graph, a few numbers an edge, is shuffled.
 
 Regular expressions are written so that they need neither backtracking over long runs nor recursion: runs start where the
 character before isn't of their class (or where the last match ended), quantifiers are possessive on single classes, and
@@ -12,14 +13,18 @@ separators that may stand only inside a run are first replaced by a private char
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.runtime import spool
 
+#: The base kinds, and what only this method adds.
 KINDS = ("email", "ip", "card", "phone")
-#: Private characters: inner separator of digits, inner dot of a domain, what stands for these in the input, a cut.
-GAP, DOT, OTHER, CUT = "\ue000", "\ue001", "\ue002", "\ue003"
+ALL_KINDS = (*KINDS, "secret")
+#: Private characters: inner separator of digits, inner separator of a domain or token, what stands for these in the input, a cut, what was found before.
+GAP, DOT, OTHER, CUT, BLANK = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 LOCAL, LABEL = r"A-Za-z0-9._%+\-", r"A-Za-z0-9\-"
 SPACE = r"\x20\x09-\x0D"
 
@@ -27,9 +32,16 @@ EMAIL = rf"(?:(?<![{LOCAL}{DOT}])|\G)[{LOCAL}{DOT}]++@[{LABEL}]++{DOT}[{LABEL}{D
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9{GAP}]{{13,}}+"
 PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
-#: Looser shapes, for candidates.
+#: A quoted literal after = or :, long and of letters and digits.
+SECRET = r"(?<=[=:]\x20?[\"'])[A-Za-z0-9+/_=\-]{32,}+(?=[\"'])"
+#: Looser shapes, for candidates; and any token with four digits or more and no known shape.
 LOOSE_EMAIL = rf"(?<![{LOCAL}])[{LOCAL}]++\x20?[\[(](?i:at)[\])]\x20?[{LABEL}]++(?:(?:\.|\x20?[\[(](?i:dot)[\])]\x20?)[{LABEL}]++){{1,4}}"
 LOOSE_PHONE = r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.\-][0-9]{3}[\x20.\-][0-9]{4}(?![0-9])"
+TOKEN = rf"(?<![A-Za-z0-9{DOT}])(?=(?:[A-Za-z{DOT}]*+[0-9]){{4}})[A-Za-z0-9{DOT}]{{6,}}+"
+#: Context: what stands within so many characters of a mention, and not beyond the next mention by the same rule.
+CONTEXT = 60
+#: Words of a context: runs of letters and digits, and other characters one by one, but for those that tokens hold inside.
+CONTEXT_WORD = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}\p{Co}._/\-]"
 
 MENTION = "struct<kind: int, start: long, end: long, seed: boolean, instance: long, patterns: array<long>>"
 
@@ -56,36 +68,43 @@ def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def _patterns(kind: int, left: Column, right: Column) -> Column:
-    """Hashes of two lexical patterns: the two words before; the word before and the word after."""
-    plain = lambda s: F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), "[0-9]", "0"), f"[{SPACE}]+", " ")), " ")
-    words = lambda s: F.filter(plain(s), lambda w: w != "")
+def _patterns(left: Column, right: Column) -> Column:
+    """Hashes of three lexical patterns: the two and the three words before; the word before and the word after. Digits
+    count as one; a pattern without letters is none."""
+    words = lambda s: F.regexp_extract_all(F.regexp_replace(F.lower(s), "[0-9]+", "0"), F.lit(CONTEXT_WORD), 0)
 
     def of(before: Column, after: Column) -> Column:
-        last, prior, first = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2)), F.try_element_at(after, F.lit(1))
-        two = F.when(prior.isNotNull(), F.xxhash64(F.lit(kind), F.lit("before"), prior, last))
-        around = F.when(last.isNotNull() & first.isNotNull(), F.xxhash64(F.lit(kind), F.lit("around"), last, first))
-        return F.filter(F.array(two, around), lambda p: p.isNotNull())
+        at = lambda n: F.try_element_at(before, F.lit(-n))
+        shapes = {"two": [at(2), at(1)], "three": [at(3), at(2), at(1)], "around": [at(1), F.try_element_at(after, F.lit(1))]}
+        keys = F.array(*[F.when(reduce(Column.__and__, [w.isNotNull() for w in ws]), F.concat_ws("\n", F.lit(name), *ws)) for name, ws in shapes.items()])
+        return F.transform(F.filter(keys, lambda k: k.isNotNull() & k.rlike(r"\n[^\n]*\p{L}")), lambda k: F.xxhash64(k))
 
-    return let(words(F.right(left, F.lit(60))), lambda b: let(words(F.left(right, F.lit(60))), lambda a: of(b, a)))
+    return let(words(F.right(left, F.lit(CONTEXT))), lambda b: let(words(F.left(right, F.lit(CONTEXT))), lambda a: of(b, a)))
 
 
-def _mentions(kind: int, text: Column, pattern: str, seed, candidate=None) -> Column:
-    """Mentions of one pattern: its matches split off by a cut mark, their places from running lengths."""
+def _mentions(kind: int | None, text: Column, pattern: str, seed=None, candidate=None) -> Column:
+    """Mentions of one pattern: its matches split off by a cut mark, their places from running lengths. Those that are
+    neither seeds nor candidates are dropped; `candidate` also gets the character before the match."""
     none = F.array().cast(f"array<{MENTION}>")
+    no = lambda *v: F.lit(False)
 
     def of(parts: Column) -> Column:
         def one(ends: Column) -> Column:
             def mention(i: Column) -> Column:
-                value = F.get(parts, i)
-                is_seed = seed(value)
-                return F.struct(
-                    F.lit(kind).alias("kind"), F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), is_seed.alias("seed"),
-                    F.xxhash64(F.lit(kind), F.when(F.lit(kind == 0), F.lower(value)).otherwise(_digits(value))).alias("instance"),
-                    F.when(is_seed | (candidate(value) if candidate else F.lit(False)), _patterns(kind, F.get(parts, i - 1), F.get(parts, i + 1))).alias("patterns"),
-                )
+                def made(value: Column) -> Column:
+                    def struct(is_seed: Column) -> Column:
+                        own = F.xxhash64(F.lit(kind), F.when(F.lit(kind in (0, 4)), F.lower(value)).otherwise(_digits(value))) if kind is not None else F.lit(None).cast("long")
+                        loose = F.xxhash64(F.lit("candidate"), F.regexp_replace(F.lower(value), "[^0-9a-z]", ""))
+                        return F.when(is_seed | (candidate or no)(value, F.right(F.get(parts, i - 1), F.lit(1))), F.struct(
+                            F.when(is_seed, F.lit(kind)).cast("int").alias("kind"), F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), is_seed.alias("seed"),
+                            F.when(is_seed, own).otherwise(loose).alias("instance"), _patterns(F.get(parts, i - 1), F.get(parts, i + 1)).alias("patterns"),
+                        ))
+
+                    return let((seed or no)(value), struct)
+
+                return let(F.get(parts, i), made)
 
-            return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), mention), lambda m: m["patterns"].isNotNull())
+            return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), mention), lambda m: m.isNotNull()).cast(f"array<{MENTION}>")
 
         return F.when(F.size(parts) < 3, none).otherwise(let(running_ends(F.transform(parts, lambda p: F.length(p).cast("long"))), one))
 
@@ -93,81 +112,115 @@ def _mentions(kind: int, text: Column, pattern: str, seed, candidate=None) -> Co
 
 
 def find_mentions(text: Column) -> Column:
-    """All mentions in a text: seeds by the fixed rules, and candidates of looser shape. Null counts as empty."""
+    """All mentions in a text: seeds by the fixed rules, candidates of looser shape, and tokens of any shape with digits that
+    touch none of these. Null counts as empty."""
     none = F.array().cast(f"array<{MENTION}>")
-    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), GAP + DOT + CUT, OTHER * 3)
-    yes, no = (lambda v: F.lit(True)), (lambda v: F.lit(False))
+    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), GAP + DOT + CUT + BLANK, OTHER * 4)
+    yes = lambda *v: F.lit(True)
 
     def of(t: Column) -> Column:
         dotted = F.regexp_replace(t, rf"(?<=[{LABEL}])\.(?=[{LABEL}])", DOT)
         joined = F.regexp_replace(t, r"(?<=[0-9])[\x20\-](?=[0-9])", GAP)
+        inner = lambda x: F.regexp_replace(x, r"(?<=[A-Za-z0-9])[_./\-](?=[A-Za-z0-9])", DOT)
         low = lambda v: F.forall(F.split(v, r"\."), lambda p: p.cast("double") <= 255)
         size = lambda v, a, b: F.length(_digits(v)).between(a, b)
         luhn = lambda v: size(v, 14, 19) & F.call_function("luhn_check", F.when(size(v, 14, 19), _digits(v)).otherwise(F.lit("0")))
-        found = F.concat(
+        mixed = lambda v: (F.length(_digits(v)) >= 4) & (F.length(F.regexp_replace(v, "[^A-Za-z]", "")) >= 4)
+        shaped = F.concat(
             F.when(F.contains(t, F.lit("@")), _mentions(0, dotted, EMAIL, yes)).otherwise(none),
-            F.when(t.rlike(r"[\[(](?i:at)[\])]"), _mentions(0, t, LOOSE_EMAIL, no, yes)).otherwise(none),
+            F.when(t.rlike(r"[\[(](?i:at)[\])]"), _mentions(None, t, LOOSE_EMAIL, None, yes)).otherwise(none),
             F.when(t.rlike(r"[0-9]\.[0-9]"), _mentions(1, t, IP, low, yes)).otherwise(none),
-            F.when(t.rlike("[0-9]"), _mentions(2, joined, CARD, luhn, lambda v: size(v, 13, 19))).otherwise(none),
+            F.when(t.rlike("[0-9]"), _mentions(2, joined, CARD, luhn, lambda v, before: size(v, 13, 19) & ~before.rlike(r"[A-Za-z_./\-]"))).otherwise(none),
             F.when(F.contains(t, F.lit("+")), _mentions(3, t, PHONE, lambda v: size(v, 10, 15))).otherwise(none),
-            F.when(t.rlike(r"[0-9]{3}[\x20.\-][0-9]{4}"), _mentions(3, t, LOOSE_PHONE, no, yes)).otherwise(none),
+            F.when(t.rlike(r"[0-9]{3}[\x20.\-][0-9]{4}"), _mentions(None, t, LOOSE_PHONE, None, yes)).otherwise(none),
+            F.when(t.rlike(r"[=:]\x20?[\"'][A-Za-z0-9+/_=\-]{32}"), _mentions(4, t, SECRET, mixed)).otherwise(none),
         )
-        return F.when(t.rlike(r"[0-9@]|[\[(](?i:at)[\])]"), found).otherwise(none)
+        rest = lambda m: F.when(t.rlike("[0-9]"), _mentions(None, inner(blanked(t, m)), TOKEN, None, yes)).otherwise(none)
+        return F.when(t.rlike(r"[0-9@]|[\[(](?i:at)[\])]"), let(shaped, lambda m: F.concat(m, rest(m)))).otherwise(none)
 
     return let(text, of)
 
 
-def bootstrap(mentions: DataFrame, rounds: int = 3, min_known: int = 5, min_confidence: float = 0.9, min_score: float = 0.9) -> DataFrame:
-    """(kind, instance) of candidates that patterns vouch for. `mentions` has kind, instance, seed and patterns.
+def bootstrap(mentions: DataFrame, min_known: int = 5, min_confidence: float = 0.9, min_score: float = 0.9, min_share: float = 0.25) -> DataFrame:
+    """(instance, kind) of candidates that patterns vouch for. `mentions` has instance, kind (null: not known) and patterns.
 
-    A pattern counts if at least `min_known` known instances, and `min_confidence` of all its instances (one unknown more
-    assumed), are known. An instance's score is 1 minus the product of its patterns' doubts.
+    A pattern is trusted for the kind most of its known instances have (of two, the first), if these are `min_known` or more,
+    no fewer than its unknown ones, and at least `min_confidence` of all its known ones and half an instance more. An
+    instance's score is 1 minus the product of its trusted patterns' doubts; its kind is that of the pattern with the least
+    doubt. It becomes known from `min_score` on, if `min_share` of its patterns are trusted: what stands in all kinds of
+    places, such as a year, is not drawn in by one of them. Rounds go on until one finds nothing.
     """
-    edges = mentions.select("kind", "instance", F.explode("patterns").alias("pattern"), "seed").groupBy("kind", "instance", "pattern").agg(F.max("seed").alias("seed"))
+    edges = mentions.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("kind").alias("kind"))
     edges = spool(edges, "graph")
-    none = edges.where("false").select("kind", "instance")
-    if edges.where("not seed").isEmpty():
+    none = edges.where("false").select("instance", "kind")
+    if edges.where("kind is null").isEmpty():
         return none
-    known = edges.groupBy("kind", "instance").agg(F.max("seed").alias("seed")).where("seed").select("kind", "instance").withColumn("known", F.lit(1))
-    new = none
-    for _ in range(rounds):
-        state = edges.join(known, ["kind", "instance"], "left")
-        good = state.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k")).where((F.col("k") >= min_known) & (F.col("k") >= min_confidence * (F.col("n") + 1)))
-        good = good.select("kind", "pattern", (1 - F.col("k") / (F.col("n") + 1)).alias("doubt"))
-        votes = state.where("known is null").join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.ln("doubt")))).alias("score"))
-        found = spool(votes.where(F.col("score") >= min_score).select("kind", "instance"), "found")
+    known = edges.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind"))
+    edges, new = edges.select("instance", "pattern"), none
+    while True:
+        state = edges.join(known, "instance", "left")
+        counts = state.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
+        held = F.when(F.col("kind").isNotNull(), F.col("n"))
+        by = counts.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum(held).alias("known"), F.max(F.when(held.isNotNull(), F.struct("n", -F.col("kind")))).alias("top"))
+        by = by.select("pattern", (F.col("n") - F.col("known")).alias("unknown"), "known", F.col("top.n").alias("k"), (-F.col("top.col2")).alias("of"))
+        doubt = 1 - F.col("k") / (F.col("known") + 0.5)
+        good = by.where((F.col("k") >= min_known) & (F.col("k") >= F.col("unknown"))).select("pattern", "of", doubt.alias("doubt")).where(F.col("doubt") <= 1 - min_confidence)
+        votes = state.where("kind is null").join(good, "pattern", "left").groupBy("instance")
+        votes = votes.agg(F.count(F.lit(1)).alias("n"), F.count("doubt").alias("good"), F.sum(F.ln("doubt")).alias("logs"), F.min(F.when(F.col("doubt").isNotNull(), F.struct("doubt", "of"))).alias("best"))
+        votes = votes.where((1 - F.exp("logs") >= min_score) & (F.col("good") >= min_share * F.col("n")))
+        found = spool(votes.select("instance", F.col("best.of").alias("kind")), "found")
         if found.isEmpty():
-            break
-        new = new.unionByName(found)
-        known = known.unionByName(found.withColumn("known", F.lit(1)))
-    return new
+            return new
+        new, known = new.unionByName(found), spool(known.unionByName(found), "known")
+
+
+SPANS = "array<struct<start: long, kind: int, end: long>>"
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[Column], **options) -> DataFrame:
+    """`keep` columns, base and spans for each row of `docs`; rows without candidates are neither shuffled nor joined."""
+    rows = docs.select(F.monotonically_increasing_id().alias("n"), *keep, find_mentions(F.col(text_col)).alias("mentions"))
+    rows = spool(rows, "mentions")
+    flat = rows.select("n", F.explode("mentions").alias("m")).select("n", "m.*")
+    new = bootstrap(flat, **options).withColumnRenamed("kind", "as")
+    more = flat.where("not seed").join(new, "instance").groupBy("n").agg(F.array_sort(F.collect_set(F.struct("start", F.col("as").alias("kind"), "end"))).cast(SPANS).alias("more"))
+    of = lambda test: F.array_sort(F.transform(F.filter("mentions", lambda m: m["seed"] & test(m["kind"])), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))).cast(SPANS)
+    names = [c for c in rows.columns if c not in ("n", "mentions")]
+    left = rows.select("n", *names, of(lambda k: k < len(KINDS)).alias("base"), of(lambda k: k >= len(KINDS)).alias("own"), F.exists("mentions", lambda m: ~m["seed"]).alias("open"))
+    none = F.array().cast(SPANS)
+    met = left.where("not open").withColumn("more", none).unionByName(left.where("open").join(more, "n", "left").withColumn("more", F.coalesce("more", none)))
+    return met.select(*names, "base", _with_others("base", "own", "more").alias("spans"))
+
+
+def _with_others(base: str, own: str, more: str) -> Column:
+    """All base spans, and from left to right those of the others that touch no base span and none taken before. Spans are
+    sorted once, so that the work stays near linear; a base span ends at most once a place."""
+    rank = lambda c, r: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(r).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    free = lambda spans: let(_joined_spans(F.col(base)), lambda taken: F.filter(spans, lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    others = F.array_sort(F.concat(rank(own, 0), rank(more, 1)))
+    plain = F.transform(_first_of_overlapping(others), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.when((F.size(own) == 0) & (F.size(more) == 0), F.col(base)).otherwise(F.array_sort(F.concat(base, free(plain))).cast(SPANS))
+
+
+def _first_of_overlapping(spans: Column) -> Column:
+    empty = F.array().cast("array<struct<start: long, rank: int, kind: int, end: long>>")
+    return F.aggregate(spans.cast("array<struct<start: long, rank: int, kind: int, end: long>>"), empty, lambda acc, s: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= s["start"], F.concat(acc, F.array(s))).otherwise(acc))
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id_col, text_hash, base, spans) for every row of `docs`.
+    """(id_col, base, spans) for every row of `docs`.
 
-    base and spans are arrays of (start, kind, end) in code points, sorted: what the fixed rules find, and that plus what
-    the contexts vouch for where it doesn't overlap it. kind is the number of a name in KINDS. Null texts are empty;
-    repeated rows each get a row; extra columns are not read. The texts are read once; what is shuffled are mentions.
+    base and spans are arrays of (start, kind, end) in code points, sorted: what the fixed rules for KINDS find; and that plus
+    what the contexts vouch for, and quoted secrets, where they touch none of it. kind is the number of a name in ALL_KINDS. Null
+    texts are empty; repeated rows each get a row, and ids are not used; extra columns are not read. The texts are read
+    once; what is shuffled are mentions.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), find_mentions(F.col(text_col)).alias("mentions"))
-    rows = spool(rows, "mentions")
-    flat = rows.select("id", "text_hash", F.explode("mentions").alias("m")).select("id", "text_hash", "m.*")
-    new = bootstrap(flat, **options)
-    span = F.struct("start", "kind", "end")
-    more = flat.where("not seed").join(new, ["kind", "instance"], "left_semi").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("more"))
-    base = F.array_sort(F.transform(F.filter("mentions", lambda m: m["seed"]), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"))))
-    left = rows.select("id", "text_hash", base.alias("base")).alias("l")
-    same = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.text_hash") == F.col("r.text_hash"))
-    joined = left.join(more.alias("r"), same, "left").select("l.id", "l.text_hash", "base", "more")
-    apart = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", apart)))
-    return joined.select(F.col("id").alias(id_col), "text_hash", "base", spans.alias("spans"))
+    return _marked(docs, id_col, text_col, [F.col(id_col)], **options).select(id_col, "base", "spans")
 
 
 def span_text(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
@@ -183,10 +236,9 @@ def _joined_spans(spans: Column) -> Column:
     return F.aggregate(spans, empty, add)
 
 
-def masked(text: Column, spans: Column, block: int = 4096) -> Column:
-    """`text` with each span replaced by its kind in angle brackets. The text is cut into blocks once, so that the work is
-    near linear for long texts with many spans."""
-    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+def _replaced(text: Column, spans: Column, by, block: int = 4096) -> Column:
+    """`text` with each span replaced by by(span). The text is cut into blocks once, so that the work is near linear for long
+    texts with many spans."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / block).cast("int")), lambda i: F.substring(text, i * block + 1, block))
 
     def cut(bs: Column, a: Column, b: Column) -> Column:
@@ -196,7 +248,7 @@ def masked(text: Column, spans: Column, block: int = 4096) -> Column:
 
     def of(bs: Column) -> Column:
         def parts(ss: Column) -> Column:
-            pieces = F.transform(ss, lambda s, i: F.concat(cut(bs, F.when(i > 0, F.get(ss, i - 1)["end"]).otherwise(F.lit(0).cast("long")), s["start"]), F.get(names, s["kind"])))
+            pieces = F.transform(ss, lambda s, i: F.concat(cut(bs, F.when(i > 0, F.get(ss, i - 1)["end"]).otherwise(F.lit(0).cast("long")), s["start"]), by(s)))
             return F.concat(F.array_join(pieces, ""), cut(bs, F.element_at(ss, -1)["end"], F.length(text).cast("long")))
 
         return let(_joined_spans(spans), parts)
@@ -204,11 +256,21 @@ def masked(text: Column, spans: Column, block: int = 4096) -> Column:
     return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(let(blocks, of))
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """`text` with each span replaced by its kind in angle brackets."""
+    names = F.array(*[F.lit(f"<{k}>") for k in ALL_KINDS])
+    return _replaced(text, spans, lambda s: F.get(names, s["kind"]))
+
+
+def blanked(text: Column, mentions: Column) -> Column:
+    """`text` with each mention replaced by as many blanks."""
+    spans = F.array_sort(F.transform(mentions, lambda m: F.struct(m["start"].alias("start"), F.coalesce(m["kind"], F.lit(-1)).alias("kind"), m["end"].alias("end")))).cast(SPANS)
+    return _replaced(text, spans, lambda s: F.repeat(F.lit(BLANK), (s["end"] - s["start"]).cast("int")))
+
+
 def mask_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with every span that pii_spans() finds masked; all rows and columns stay, and a null text stays null."""
-    found = pii_spans(docs, id_col, text_col, **options).where("size(spans) > 0").groupBy(F.col(id_col).alias("id"), "text_hash").agg(F.first("spans").alias("spans")).alias("f")
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("text_hash"), F.struct("*").alias("row")).alias("d")
-    same = F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
-    own = F.col("d.row")
-    return rows.join(found, same, "left").select(own.withField(text_col, masked(own[text_col], F.col("f.spans"))).alias("row")).select("row.*")
+    """`docs` with every span that pii_spans() finds masked; all rows and columns stay, and a null text stays null. Each row
+    is masked by its own spans, whatever its id; ids are not read."""
+    found = _marked(docs, id_col, text_col, [F.struct("*").alias("row")], **options)
+    own = F.col("row")
+    return found.select(own.withField(text_col, masked(own[text_col], F.col("spans"))).alias("row")).select("row.*")

@@ -72,7 +72,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(_table(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *[number(k) for k in range(len(KINDS))], F.sha2(span_text("base").cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+    sha = F.sha2(span_text("base").cast("binary"), 256)
+    return found.select("doc_id", *[number(k) for k in range(len(KINDS))], sha.alias("base_sha256"), span_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
