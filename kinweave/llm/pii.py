@@ -82,61 +82,75 @@ def _patterns(left: Column, right: Column) -> Column:
     return let(words(F.right(left, F.lit(CONTEXT))), lambda b: let(words(F.left(right, F.lit(CONTEXT))), lambda a: of(b, a)))
 
 
-def _mentions(kind: int | None, text: Column, pattern: str, seed=None, candidate=None) -> Column:
-    """Mentions of one pattern: its matches split off by a cut mark, their places from running lengths. Those that are
-    neither seeds nor candidates are dropped; `candidate` also gets the character before the match."""
-    none = F.array().cast(f"array<{MENTION}>")
-    no = lambda *v: F.lit(False)
+#: Rules by number: the first ones are those of ALL_KINDS.
+EMAILS, IPS, CARDS, PHONES, SECRETS, LOOSE_EMAILS, LOOSE_PHONES, TOKENS = range(8)
+
+
+def _kind(rule: Column, value: Column) -> Column:
+    """The kind of a seed, else null."""
+    size = lambda a, b: F.length(_digits(value)).between(a, b)
+    low = F.forall(F.split(value, r"\."), lambda p: p.cast("double") <= 255)
+    luhn = size(14, 19) & F.call_function("luhn_check", F.when(size(14, 19), _digits(value)).otherwise(F.lit("0")))
+    mixed = (F.length(_digits(value)) >= 4) & (F.length(F.regexp_replace(value, "[^A-Za-z]", "")) >= 4)
+    return F.when((rule == EMAILS) | (rule == IPS) & low | (rule == CARDS) & luhn | (rule == PHONES) & size(10, 15) | (rule == SECRETS) & mixed, rule)
+
+
+def _mentions(rules: list[tuple[int, Column, Column, str]]) -> Column:
+    """Mentions by (rule, condition, text, pattern): matches split off by a cut mark, their places from running lengths.
+    Matches that are neither seeds nor candidates are dropped; a failed card is a candidate unless it ends a longer token."""
+    nothing = F.array().cast("array<string>")
+    parted = F.array(*[F.struct(F.lit(n).alias("rule"), F.when(test, F.split(F.regexp_replace(text, pattern, f"{CUT}$0{CUT}"), CUT, -1)).otherwise(nothing).alias("parts")) for n, test, text, pattern in rules])
+
+    def of(x: Column) -> Column:
+        rule, parts = x["rule"], x["parts"]
 
-    def of(parts: Column) -> Column:
         def one(ends: Column) -> Column:
             def mention(i: Column) -> Column:
-                def made(value: Column) -> Column:
-                    def struct(is_seed: Column) -> Column:
-                        own = F.xxhash64(F.lit(kind), F.when(F.lit(kind in (0, 4)), F.lower(value)).otherwise(_digits(value))) if kind is not None else F.lit(None).cast("long")
-                        loose = F.xxhash64(F.lit("candidate"), F.regexp_replace(F.lower(value), "[^0-9a-z]", ""))
-                        return F.when(is_seed | (candidate or no)(value, F.right(F.get(parts, i - 1), F.lit(1))), F.struct(
-                            F.when(is_seed, F.lit(kind)).cast("int").alias("kind"), F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), is_seed.alias("seed"),
-                            F.when(is_seed, own).otherwise(loose).alias("instance"), _patterns(F.get(parts, i - 1), F.get(parts, i + 1)).alias("patterns"),
-                        ))
+                value = F.get(parts, i)
+                whole = (rule == CARDS) & F.length(_digits(value)).between(13, 19) & ~F.right(F.get(parts, i - 1), F.lit(1)).rlike(r"[A-Za-z_./\-]")
 
-                    return let((seed or no)(value), struct)
+                def made(kind: Column) -> Column:
+                    own = F.xxhash64(kind, F.when(kind.isin(EMAILS, SECRETS), F.lower(value)).otherwise(_digits(value)))
+                    loose = F.xxhash64(F.lit("candidate"), F.regexp_replace(F.lower(value), "[^0-9a-z]", ""))
+                    return F.when(kind.isNotNull() | rule.isin(IPS, LOOSE_EMAILS, LOOSE_PHONES, TOKENS) | whole, F.struct(
+                        kind.alias("kind"), F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), kind.isNotNull().alias("seed"),
+                        F.when(kind.isNotNull(), own).otherwise(loose).alias("instance"), _patterns(F.get(parts, i - 1), F.get(parts, i + 1)).alias("patterns"),
+                    ))
 
-                return let(F.get(parts, i), made)
+                return let(_kind(rule, value), made)
 
             return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), mention), lambda m: m.isNotNull()).cast(f"array<{MENTION}>")
 
-        return F.when(F.size(parts) < 3, none).otherwise(let(running_ends(F.transform(parts, lambda p: F.length(p).cast("long"))), one))
+        return F.when(F.size(parts) < 3, F.array().cast(f"array<{MENTION}>")).otherwise(let(running_ends(F.transform(parts, lambda p: F.length(p).cast("long"))), one))
 
-    return let(F.split(F.regexp_replace(text, pattern, f"{CUT}$0{CUT}"), CUT, -1), of)
+    return F.flatten(F.transform(parted, of))
 
 
 def find_mentions(text: Column) -> Column:
     """All mentions in a text: seeds by the fixed rules, candidates of looser shape, and tokens of any shape with digits that
     touch none of these. Null counts as empty."""
-    none = F.array().cast(f"array<{MENTION}>")
     text = F.translate(F.coalesce(text.cast("string"), F.lit("")), GAP + DOT + CUT + BLANK, OTHER * 4)
-    yes = lambda *v: F.lit(True)
 
     def of(t: Column) -> Column:
         dotted = F.regexp_replace(t, rf"(?<=[{LABEL}])\.(?=[{LABEL}])", DOT)
         joined = F.regexp_replace(t, r"(?<=[0-9])[\x20\-](?=[0-9])", GAP)
-        inner = lambda x: F.regexp_replace(x, r"(?<=[A-Za-z0-9])[_./\-](?=[A-Za-z0-9])", DOT)
-        low = lambda v: F.forall(F.split(v, r"\."), lambda p: p.cast("double") <= 255)
-        size = lambda v, a, b: F.length(_digits(v)).between(a, b)
-        luhn = lambda v: size(v, 14, 19) & F.call_function("luhn_check", F.when(size(v, 14, 19), _digits(v)).otherwise(F.lit("0")))
-        mixed = lambda v: (F.length(_digits(v)) >= 4) & (F.length(F.regexp_replace(v, "[^A-Za-z]", "")) >= 4)
-        shaped = F.concat(
-            F.when(F.contains(t, F.lit("@")), _mentions(0, dotted, EMAIL, yes)).otherwise(none),
-            F.when(t.rlike(r"[\[(](?i:at)[\])]"), _mentions(None, t, LOOSE_EMAIL, None, yes)).otherwise(none),
-            F.when(t.rlike(r"[0-9]\.[0-9]"), _mentions(1, t, IP, low, yes)).otherwise(none),
-            F.when(t.rlike("[0-9]"), _mentions(2, joined, CARD, luhn, lambda v, before: size(v, 13, 19) & ~before.rlike(r"[A-Za-z_./\-]"))).otherwise(none),
-            F.when(F.contains(t, F.lit("+")), _mentions(3, t, PHONE, lambda v: size(v, 10, 15))).otherwise(none),
-            F.when(t.rlike(r"[0-9]{3}[\x20.\-][0-9]{4}"), _mentions(None, t, LOOSE_PHONE, None, yes)).otherwise(none),
-            F.when(t.rlike(r"[=:]\x20?[\"'][A-Za-z0-9+/_=\-]{32}"), _mentions(4, t, SECRET, mixed)).otherwise(none),
-        )
-        rest = lambda m: F.when(t.rlike("[0-9]"), _mentions(None, inner(blanked(t, m)), TOKEN, None, yes)).otherwise(none)
-        return F.when(t.rlike(r"[0-9@]|[\[(](?i:at)[\])]"), let(shaped, lambda m: F.concat(m, rest(m)))).otherwise(none)
+        has_digit = t.rlike("[0-9]")
+        shaped = _mentions([
+            (EMAILS, F.contains(t, F.lit("@")), dotted, EMAIL),
+            (IPS, t.rlike(r"[0-9]\.[0-9]"), t, IP),
+            (CARDS, has_digit, joined, CARD),
+            (PHONES, F.contains(t, F.lit("+")), t, PHONE),
+            (SECRETS, t.rlike(r"[=:]\x20?[\"'][A-Za-z0-9+/_=\-]{32}"), t, SECRET),
+            (LOOSE_EMAILS, t.rlike(r"[\[(](?i:at)[\])]"), t, LOOSE_EMAIL),
+            (LOOSE_PHONES, t.rlike(r"[0-9]{3}[\x20.\-][0-9]{4}"), t, LOOSE_PHONE),
+        ])
+
+        def rest(found: Column) -> Column:
+            inner = F.regexp_replace(blanked(t, found), r"(?<=[A-Za-z0-9])[_./\-](?=[A-Za-z0-9])", DOT)
+            return F.concat(found, _mentions([(TOKENS, has_digit, inner, TOKEN)]))
+
+        none = F.array().cast(f"array<{MENTION}>")
+        return F.when(t.rlike(r"[0-9@]|[\[(](?i:at)[\])]"), let(shaped, rest)).otherwise(none)
 
     return let(text, of)
 
