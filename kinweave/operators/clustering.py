@@ -28,7 +28,7 @@ class Parameters:
     min_strength: float = 0.5
     max_labels: int = 2
     min_weight: float | None = None
-    max_clique: int = 10
+    max_clique: int | None = None
     saturation: float = 1.0
     seed: int = 1
     start: int = 0
@@ -57,7 +57,8 @@ def _votes(now: DataFrame, links: DataFrame, p: Parameters, t: int) -> DataFrame
     pick = F.pmod(F.xxhash64("vertex", F.lit(t), F.lit(p.seed)), F.size("memory")).cast("int")
     said = now.select(F.col("vertex").alias("src"), F.get("memory", pick).alias("label"))
     heard = links.join(said, "src").groupBy("dst", "label").agg(F.sum(F.col("weight") if p.weighted else F.lit(1.0)).alias("w"))
-    return heard.groupBy(F.col("dst").alias("vertex")).agg(F.max_by("label", F.struct("w", (-F.xxhash64("label")).alias("tie"))).alias("label"))
+    best = Window.partitionBy("dst").orderBy(F.desc("w"), "label")
+    return heard.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("dst").alias("vertex"), "label")
 
 
 def _speak(edges: DataFrame, p: Parameters) -> DataFrame:
@@ -91,7 +92,7 @@ def slpa_top_labels(edges: DataFrame, p: Parameters = Parameters(weighted=False,
 
 
 def maximal_cliques(edges: DataFrame, p: Parameters = Parameters(undirected=True)) -> DataFrame:  # noqa: B008
-    """Maximal cliques of up to `max_clique` members (larger ones are lost), grown a member a round.
+    """Maximal cliques, grown a member a round until none grows. With `max_clique`, larger ones are an error.
 
     The state maps each clique to the vertices that extend it. Cliques grow in ascending order, so each is reached once, by
     its least members; the extensions of a grown clique are what its own and the new member's neighbours share. A clique
@@ -103,15 +104,17 @@ def maximal_cliques(edges: DataFrame, p: Parameters = Parameters(undirected=True
     if not p.undirected:
         ends = vertices_of(links.withColumn("weight", F.lit(1.0))).join(around, F.col("vertex") == F.col("src"), "left_anti")
         state = state.unionByName(ends.select(F.array("vertex").alias("members"), F.array().cast(state.schema["free"].dataType).alias("free")))
-    done = None
-    for _ in range(p.max_clique):
-        state = spool(state, "cliques")
+    done, size = None, 0
+    while True:
+        state, size = spool(state, "cliques"), size + 1
         full = state.where("size(free) = 0").select("members")
         done = full if done is None else done.unionByName(full)
         grow = state.where("size(free) > 0").select("members", "free", F.explode("free").alias("new"))
         grow = grow.where(F.col("new") > F.element_at("members", -1)) if p.undirected else grow
         if grow.isEmpty():
             break
+        if size == p.max_clique:
+            raise ValueError(f"there are cliques of more than {p.max_clique} members")
         reach = around.select(F.col("src").alias("new"), "near")
         if p.undirected:
             state = grow.join(reach, "new").select(F.concat("members", F.array("new")).alias("members"), F.array_intersect("free", "near").alias("free"))

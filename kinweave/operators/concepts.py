@@ -117,14 +117,11 @@ def cnf_or(a: Column, b: Column) -> Column:
     return minimal_cnf(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.array_union(x, y)))))
 
 
-def folded_cnf(members: DataFrame, key: str, cnf: str, how: str, max_clauses: int = 64) -> DataFrame:
-    """(key, cnf): the formulas of each group joined by `and` or `or`, minimal. A group whose formula passes `max_clauses`
-    on the way has none (OR multiplies clauses)."""
+def folded_cnf(members: DataFrame, key: str, cnf: str, how: str) -> DataFrame:
+    """(key, cnf): the formulas of each group joined by `and` or `or`, minimal. OR multiplies clauses."""
     join = cnf_and if how == "and" else cnf_or
     lists = members.groupBy(key).agg(F.array_sort(F.collect_set(cnf)).alias("all"))
-    step = lambda acc, x: F.when(acc.isNull() | (F.size(acc) > max_clauses), F.lit(None)).otherwise(join(acc, x))
-    out = lists.select(key, F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), step).alias("cnf"))
-    return out.where(F.col("cnf").isNotNull() & (F.size("cnf") <= max_clauses))
+    return lists.select(key, F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), join).alias("cnf"))
 
 
 @dataclass(frozen=True)
@@ -171,7 +168,8 @@ class Discovery:
 
 @dataclass(frozen=True)
 class Settings:
-    """Of discovery. concept_threshold is taken for compatibility and has no effect on projected discovery."""
+    """Of discovery. max_concepts: the concepts with the largest sums that projected discovery starts from, None for all.
+    concept_threshold is taken for compatibility and has no effect on projected discovery."""
 
     measure: Measure
     n: int
@@ -183,7 +181,7 @@ class Settings:
     min_correlation: float = 0.0
     min_similarity: float = 0.0
     max_in: int = 100
-    max_concepts: int = 5000
+    max_concepts: int | None = 5000
     log_similarity: bool = False
     find_and: bool = True
     find_or: bool = True
@@ -211,7 +209,7 @@ def _next(concepts: DataFrame, start: int) -> int:
 def discover_projected(counts: DataFrame, s: Settings) -> Discovery:
     """Level by level: clusters of the correlation graph become AND concepts, clusters of its similarity graph OR concepts,
     and activations are projected onto both, until neither appears. The OR step uses the correlations from before."""
-    now = spool(top_concepts(counts, s.max_concepts).select(*COUNTS), "activations")
+    now = spool((counts if s.max_concepts is None else top_concepts(counts, s.max_concepts)).select(*COUNTS), "activations")
     and_next, or_next, ands, ors, sims, data = AND_START, OR_START, [], [], [], None
     for _ in range(s.levels):
         data = _correlated(now, s)
@@ -223,7 +221,7 @@ def discover_projected(counts: DataFrame, s: Settings) -> Discovery:
                 ands.append(found)
                 now = spool(project_and(now, found), "activations")
         if s.find_or:
-            sim = graph.similarities(data, s.min_similarity, s.totals)
+            sim = graph.similarities(data, None, s.totals).where(F.col("weight") >= s.min_similarity)
             sim = spool(sim.withColumn("weight", F.log10("weight")) if s.log_similarity else sim, "similarities")
             sims.append(sim)
             found = _clusters(sim, s, True, or_next, s.min_similarity)
@@ -307,7 +305,7 @@ def discover_indexed(contexts: DataFrame, s: Settings, concept_threshold: float
     return discover_from_counts(counts, s, concept_threshold)
 
 
-def discover_cnf(contexts: DataFrame, s: Settings, max_clauses: int = 64) -> tuple[DataFrame, DataFrame]:
+def discover_cnf(contexts: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(formulas, activations): concepts as minimal CNF over basic concepts.
 
     Clusters of the correlation graph join their members' formulas by AND, clusters of the similarity graph by OR; a formula
@@ -322,7 +320,7 @@ def discover_cnf(contexts: DataFrame, s: Settings, max_clauses: int = 64) -> tup
         data = _correlated(counts, s)
         sim = spool(graph.similarities(data, s.min_similarity, s.totals), "similarities")
         groups = [(_clusters(data.weights, s, False, 0, s.min_correlation), "and"), (_clusters(sim, s, True, 0, s.min_similarity), "or")]
-        formed = [folded_cnf(g.join(known, g["child_id"] == known["concept_id"]).select("parent_id", "cnf"), "parent_id", "cnf", how, max_clauses).select("cnf") for g, how in groups]
+        formed = [folded_cnf(g.join(known, g["child_id"] == known["concept_id"]).select("parent_id", "cnf"), "parent_id", "cnf", how).select("cnf") for g, how in groups]
         new = spool(formed[0].unionByName(formed[1]).distinct().join(known.select("cnf"), "cnf", "left_anti"), "new")
         if new.isEmpty():
             break

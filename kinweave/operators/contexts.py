@@ -49,6 +49,18 @@ def ranked(df: DataFrame, order: list, out: str, start: int = 0) -> DataFrame:
     return part.withColumn("__rank", inside).join(F.broadcast(before), "__part").withColumn(out, (F.col("__rank") - 1 + F.col("__before") + start).cast("long")).drop("__part", "__rank", "__before")
 
 
+def running_sums(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """`df` plus the sum of `value` over the rows up to this one by `order`, which must tell rows apart, without a single-task
+    sort: each range of rows sums its own, shifted by the sums of the ranges before."""
+    from kinweave.runtime import spool
+
+    part = spool(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "ranges")
+    own = part.groupBy("__part").agg(F.sum(value).alias("__n"))
+    before = own.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a range
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return part.withColumn("__sum", inside).join(F.broadcast(before), "__part").withColumn(out, F.col("__sum") + F.col("__before")).drop("__part", "__sum", "__before")
+
+
 def moving_window(contexts: DataFrame, width: int) -> DataFrame:
     """Each row is copied to contexts x to x + width - 1."""
     if width < 2:
@@ -91,8 +103,9 @@ def ngram_counts(lines: DataFrame, text_col: str, width: int) -> DataFrame:
     """(tokens, n): ordered n-grams of cleaned lines with two tokens or more."""
     if width < 2:
         raise ValueError("n-grams need two tokens or more")
-    toks = lines.select(cleaned_tokens(F.col(text_col)).alias("t")).where("size(t) > 1")
-    return toks.select(F.explode(ngrams(F.col("t"), width)).alias("tokens")).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+    # tokens are a lambda's argument, so that a line is cleaned once and no filter on them is pushed below
+    windows = F.transform(F.array(cleaned_tokens(F.col(text_col))), lambda t: F.when(F.size(t) > 1, ngrams(t, width)))[0]
+    return lines.select(F.explode(windows).alias("tokens")).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ngrams_to_context_counts(counted: DataFrame, min_count: int = 1) -> dict[str, DataFrame]:

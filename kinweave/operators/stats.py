@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import connected_components
+from kinweave.operators.contexts import running_sums
 from kinweave.operators.graph import degrees
 
 
@@ -28,7 +29,7 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 def cumulative_counts(df: DataFrame, col: str) -> DataFrame:
     """(value, n, at_most): how many rows have each value, and at most it. The running sum is over distinct values."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("at_most", F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    return running_sums(counts, "value", "n", "at_most")
 
 
 def graph_statistics(edges: DataFrame) -> DataFrame:
@@ -91,8 +92,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        below = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-        return counts.select(c, (below + (F.col("n") + 1) / 2).alias(f"r{c}"))
+        up_to = running_sums(counts, c, "n", "up_to")
+        return up_to.select(c, (F.col("up_to") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
     return rows.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 

@@ -15,6 +15,7 @@ from kinweave.operators import clustering, concepts, contexts, counts, graph, pr
 from kinweave.operators.clustering import Parameters
 from kinweave.operators.components import connected_components
 from kinweave.operators.graph import EdgeData
+from kinweave.runtime import spool
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -542,10 +543,7 @@ def edge_clusters(spark, sf):
     SELECT array_to_string(m, ' ') AS members FROM c WHERE len(f) = 0"""
 )
 def max_cliques(spark, sf):
-    return clustering.as_text(clustering.maximal_cliques(_part_graph(spark, sf), Parameters(undirected=True, max_clique=20))).select(F.col("text").alias("members"))
-
-
-ORACLES["max_cliques_local"] = ORACLES["max_cliques"]
+    return clustering.as_text(clustering.maximal_cliques(_part_graph(spark, sf), Parameters(undirected=True))).select(F.col("text").alias("members"))
 
 
 @_query(ORACLES["max_cliques"], "max_cliques_local")
@@ -563,11 +561,6 @@ def slpa_top_labels(spark, sf):
     return clustering.slpa_top_labels(_part_graph(spark, sf), Parameters(undirected=True, weighted=False, capacity=20, iterations=6))
 
 
-@_query()
-def label_propagation(spark, sf):
-    return clustering.label_propagation(_part_graph(spark, sf), Parameters(iterations=6, weighted=False))
-
-
 # Higher-order concepts
 
 
@@ -656,10 +649,10 @@ def higher_order_level1(spark, sf):
 
 
 def _labelled_words(spark, sf):
-    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("context_id"), F.explode(F.array_distinct(contexts.cleaned_tokens(F.col("text")))).alias("concept_id"))
+    docs = spool(_table(spark, sf, "documents").select(F.col("doc_id").alias("context_id"), F.explode(F.array_distinct(contexts.cleaned_tokens(F.col("text")))).alias("concept_id")), "words")
     common = docs.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").select("concept_id")
     labels = _table(spark, sf, "labels").select(F.col("doc_id").alias("context_id"), F.col("quality").alias("class_id"))
-    return docs.join(common, "concept_id", "left_semi").select("context_id", "concept_id"), labels
+    return spool(docs.join(common, "concept_id", "left_semi").select("context_id", "concept_id"), "common"), labels
 
 
 @_query(
@@ -714,15 +707,15 @@ def mean_fallback(spark, sf):
 
 @_query(
     """WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey + k) % 25 AS b, 0.5 + 0.1 * k AS s FROM nation, (SELECT unnest([1, 2, 3]) AS k)),
-    l AS (SELECT a, b, s FROM e UNION ALL SELECT b, a, s FROM e), p(s0, v, d, sim, h) AS (SELECT n_nationkey, n_nationkey, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM nation WHERE n_nationkey < 5
+    l AS (SELECT a, b, s FROM e UNION ALL SELECT b, a, s FROM e), p(s0, v, d, sim, h) AS (SELECT n_nationkey, n_nationkey, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM nation
     UNION ALL SELECT s0, l.b, d + 1 - s, sim * s, h + 1 FROM p JOIN l ON l.a = p.v WHERE d + 1 - s <= 1.0000001 AND h < 6)
-    SELECT s0 AS source, v AS target, round(min(d), 6) AS distance FROM p GROUP BY 1, 2"""
+    SELECT s0 AS source, v AS target, round(d, 6) AS distance, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY s0, v ORDER BY round(d, 9), sim DESC) AS r FROM p) WHERE r = 1"""
 )
 def path_similarity(spark, sf):
     nation = _table(spark, sf, "nation")
     edges = nation.select(F.col("n_nationkey").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).select("src", ((F.col("src") + F.col("k")) % 25).alias("dst"), (0.5 + 0.1 * F.col("k")).alias("weight"))
-    out = graph.path_similarities(edges, nation.where("n_nationkey < 5").select("n_nationkey"), cutoff=1.0000001)
-    return out.select("source", "target", _r("distance"))
+    out = graph.path_similarities(edges, nation.select("n_nationkey"), cutoff=1.0000001)
+    return out.select("source", "target", _r("distance"), _r("similarity"))
 
 
 # Exports

@@ -99,9 +99,10 @@ def _shown(parent: Column, parts: Column) -> Column:
     return F.when(is_and(parent), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.concat(F.lit("("), inner, F.lit(")")))
 
 
-def nested_names(concepts: DataFrame, groups: DataFrame, recurrent: DataFrame | None = None, max_levels: int = 20) -> DataFrame:
+def nested_names(concepts: DataFrame, groups: DataFrame, recurrent: DataFrame | None = None) -> DataFrame:
     """(concept_id, name) of basic, recurrent and grouped concepts: AND as [a,b], OR as (a,b), a recurrence as label^n, an
-    unknown member as <id>. `groups` has child_id and parent_id of both kinds. Names grow a level a round, by joins."""
+    unknown member as <id>. `groups` has child_id and parent_id of both kinds. Names grow a level a round, by joins, until none
+    is new."""
     names = concepts.select("concept_id", F.col("label").alias("name"))
     if recurrent is not None:
         r = recurrent.join(names, "concept_id", "left").select(F.col("rec_id").alias("concept_id"), F.concat(F.coalesce("name", F.concat(F.lit("<"), F.col("concept_id").cast("string"), F.lit(">"))), F.lit("^"), F.col("n").cast("string")).alias("name"))
@@ -110,7 +111,7 @@ def nested_names(concepts: DataFrame, groups: DataFrame, recurrent: DataFrame |
     lost = groups.select(F.col("child_id").alias("concept_id")).distinct().join(names, "concept_id", "left_anti").join(parents, "concept_id", "left_anti")
     names = spool(names.unionByName(lost.select("concept_id", F.concat(F.lit("<"), F.col("concept_id").cast("string"), F.lit(">")).alias("name"))), "names")
     open_ = groups
-    for _ in range(max_levels):
+    while True:
         met = open_.join(names, open_["child_id"] == names["concept_id"], "left")
         grown = met.groupBy("parent_id").agg(F.array_sort(F.collect_list("name")).alias("parts"), F.count(F.lit(1)).alias("n")).where(F.size("parts") == F.col("n"))
         grown = spool(grown.select(F.col("parent_id").alias("concept_id"), _shown(F.col("parent_id"), F.col("parts")).alias("name")), "names")
@@ -134,7 +135,7 @@ def nested_edge_lines(edges: DataFrame, names: DataFrame, n: int) -> DataFrame:
     return text_rows(named.select("weight", "src_label", "dst_label"), "\t")
 
 
-def newick(or_concepts: DataFrame, similarities: DataFrame, concepts: DataFrame, max_levels: int = 50) -> DataFrame:
+def newick(or_concepts: DataFrame, similarities: DataFrame, concepts: DataFrame) -> DataFrame:
     """(concept_id, tree): `(l:d,r:d);` for each binary OR concept, d = 1 - similarity of its two members.
 
     A concept with other than two members, or with a member of unknown shape, has no tree.
@@ -145,7 +146,7 @@ def newick(or_concepts: DataFrame, similarities: DataFrame, concepts: DataFrame,
     open_ = spool(ends.join(sim, ["a", "b"]), "pairs")
     base = concepts.select("concept_id", F.col("label").alias("tree")).join(pairs.select(F.col("parent_id").alias("concept_id")), "concept_id", "left_anti")
     names, trees = spool(base, "trees"), None
-    for _ in range(max_levels):
+    while True:
         side = lambda k: names.select(F.col("concept_id").alias(k), F.col("tree").alias(f"t{k}"))
         d = F.round(1 - F.col("w"), 6).cast("string")
         met = open_.join(side("a"), "a").join(side("b"), "b")

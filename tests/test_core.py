@@ -326,3 +326,17 @@ def test_pruning_properties(spark, rows, k):
     exact = {(r.src, r.dst): r.weight for r in graph.similarities(data, None).collect()}
     near = graph.similarities(cut, None, error=True).collect()
     assert all(-1e-9 <= r.weight <= 1 + 1e-9 and -1e-9 <= exact[r.src, r.dst] - r.weight <= 2 * r.error + 1e-9 for r in near)
+
+
+def test_nothing_is_lost_beyond_old_bounds(spark):
+    from kinweave.operators import clustering, concepts
+    from kinweave.operators.clustering import Parameters
+    from pyspark.sql import functions as F
+
+    eleven = spark.createDataFrame([(a, b, 1.0) for a in range(11) for b in range(a)], "src long, dst long, weight double")
+    found = clustering.as_text(clustering.maximal_cliques(eleven, Parameters(undirected=True))).collect()
+    assert [r.text for r in found] == [" ".join(map(str, range(11)))]
+    with pytest.raises(ValueError):
+        clustering.maximal_cliques(eleven, Parameters(undirected=True, max_clique=10))
+    clauses = spark.range(100).select(F.lit(1).alias("key"), F.array(F.array("id")).alias("cnf"))
+    assert concepts.folded_cnf(clauses, "key", "cnf", "and").select(F.size("cnf").alias("n")).first().n == 100
