@@ -89,7 +89,7 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    out = shard_documents(_table(spark, sf_dir, "documents"), n_shards=40, extra={"text_crc32": crc})
+    out = shard_documents(_table(spark, sf_dir, "documents"), n_shards=40, extra={"text_crc32": crc}, maps=new_folder(spark, "slot-map"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

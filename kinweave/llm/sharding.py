@@ -102,6 +102,17 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(version, rows[0].n_shards, tuple(r.shard for r in rows))
 
 
+def edited(spark: SparkSession, path: str, sizes: dict[int, int], n_shards: int, slots: int = SLOTS) -> SlotMap:
+    """The latest version below `path`, edited for `sizes` and stored as the next one if any slot moves; as it is read back."""
+    if not exists(spark, path):
+        save_map(spark, new_map({}, n_shards, slots), path)
+    old = load_map(spark, path)
+    new = rebalanced(old, sizes, tolerance=0.0)
+    if new.shards != old.shards:
+        save_map(spark, new, path)
+    return load_map(spark, path)
+
+
 def slot_of(*columns: str, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(slots)).cast("int")
 
@@ -117,18 +128,23 @@ def assign(records: DataFrame, slot_map: SlotMap) -> DataFrame:
     return records.join(F.broadcast(table), "virtual_slot")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, slot_map: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, slot_map: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     """(id_col, size, *extra, virtual_slot, shard, slot) for every row of `docs`.
 
     size: UTF-8 bytes of the text plus 16; null counts as none. The slot comes from the id and the text together, so rows
-    that repeat an id spread. slot numbers the rows of a shard from 0 without gaps. Without a map one is made for these
-    sizes. Texts are read once and never shuffled; `extra` names columns over `docs` to carry along.
+    that repeat an id spread; rows equal in both share a slot. Groups of equal texts are dealt out by their ids, as no law of
+    near equal bytes could keep a group of a third of all rows in one shard. slot numbers the rows of a shard from 0 without
+    gaps. `maps` is a folder of versions: the latest one is edited for these sizes, stored as the next where slots moved, and
+    read back; an empty folder begins with as many slots for each shard. Without map and folder one map is made for these
+    sizes. Texts are read once and never shuffled; `extra` names columns over `docs` to carry along. Null ids and texts count;
+    an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     extra = extra or {}
     records = docs.select(F.col(id_col), (F.octet_length(text) + 16).cast("long").alias("size"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slots)).cast("int").alias("virtual_slot"), *[v.alias(k) for k, v in extra.items()])
     records = spool(records, "records")
-    slot_map = slot_map or new_map(slot_bytes(records), n_shards, slots)
+    if slot_map is None:
+        slot_map = edited(docs.sparkSession, maps, slot_bytes(records), n_shards, slots) if maps else new_map(slot_bytes(records), n_shards, slots)
     buckets = min(4096, max(4, records.count() // (20_000 * n_shards) + 1))
     out = gapless(assign(records, slot_map), ["shard"], [id_col, "virtual_slot"], "slot", buckets)
     return out.select(id_col, "size", *extra, "virtual_slot", "shard", "slot")

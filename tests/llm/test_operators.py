@@ -326,6 +326,22 @@ def test_resampling_takes_exactly_k_and_prefers_the_target(spark, docs):
     assert resample(docs.limit(0), set()).count() == 0
 
 
+def test_weights_are_log_ratios_of_hashed_counts(spark):
+    from math import log
+
+    from kinweave.llm.importance import BUCKETS, features, log_ratios, log_weights
+
+    texts = ["a b c a", "A b", None, "", "x y z " * 40, "b c"]
+    df = spark.createDataFrame([(i, t.encode() if t is not None else None) for i, t in enumerate(texts)], "id long, text binary").repartition(3)
+    got = {r.id: r.log_weight for r in log_weights(df, log_ratios(df, {0, 5})).collect()}
+    cells = [features(t.encode() if t else None).tolist() for t in texts]
+    raw, target = Counter(x for c in cells for x in c), Counter(x for i in (0, 5) for x in cells[i])
+    n, m = sum(raw.values()) + BUCKETS, sum(target.values()) + BUCKETS
+    for i, c in enumerate(cells):
+        assert abs(got[i] - sum(log((target[x] + 1) / m) - log((raw[x] + 1) / n) for x in c)) < 1e-9
+    assert [len(c) for c in cells] == [7, 3, 0, 0, 239, 3]
+
+
 def test_cut_with_ties(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 2, 2, 2, 3, 9]], "key double")
     assert [_cut(df, k, bins=4) for k in (1, 2, 3, 6, 7)] == [(9.0, 1), (3.0, 1), (2.0, 1), (2.0, 4), (1.0, 1)]
@@ -365,6 +381,17 @@ def test_maps_are_versioned_and_edited(spark, tmp_path):
         sharding.save_map(spark, first, f"file://{tmp_path}/map")
 
 
+def test_shards_follow_the_stored_map(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = f"file://{tmp_path}/maps"
+    rows = sharding.shard_documents(docs, 8, slots=512, maps=path).collect()
+    first, second = sharding.load_map(spark, path, 1), sharding.load_map(spark, path)
+    assert (first.version, second.version) == (1, 2) and [first.shards.count(s) for s in range(8)] == [64] * 8
+    assert all(r.shard == second.shards[r.virtual_slot] for r in rows)
+    again = sharding.shard_documents(docs, 8, slots=512, maps=path).collect()
+    assert {(r.doc_id, r.shard) for r in again} == {(r.doc_id, r.shard) for r in rows}
+
+
 def test_sharding_awkward_rows(spark, docs):
     out = sharding.shard_documents(docs.unionByName(docs).withColumn("doc_id", F.when(F.col("doc_id") < 5, None).otherwise(F.col("doc_id"))), 4).collect()
     assert len(out) == 2 * docs.count()
@@ -385,6 +412,8 @@ def test_ledger(spark, tmp_path):
     assert not ledger.commit("b1", rollup.inserts(docs, "t1", F.col("n")))
     got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in ledger.totals().collect()}
     assert got == {("a", "en"): (3, 17), (None, "en"): (1, 1), ("b", None): (1, 0)}
+    with pytest.raises(ValueError, match="other content"):
+        ledger.commit("b1", rollup.inserts(docs.limit(2), "t1", F.col("n")))
     ledger.commit("b2", rollup.deletes(docs.where("source = 'a'"), "t1", F.col("n")))
     ledger.commit("b3", rollup.revisions(docs.where("source is null"), "t1", F.col("n"), F.lit(9)))
     broken = tmp_path / "ledger" / "batch=b4"
