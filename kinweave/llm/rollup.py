@@ -2,8 +2,8 @@
 
 A batch is a table of signed changes: an insert counts +1 document and +n tokens, a delete -1 and -n, a revised count 0 and
 the difference. It is summed by source, language and tokenizer version and committed as one folder of the ledger, named by
-the batch. A batch that is committed already is left as it is, so a retried job changes nothing; one that broke off has no
-_SUCCESS file and is overwritten. Totals are the sum over committed batches; compaction folds them into one.
+the batch. A batch that is committed already is left as it is, so a retried job changes nothing, and one of the same name
+with other content is an error; one that broke off has no _SUCCESS file and is overwritten. Totals are the sum over committed batches; compaction folds them into one.
 """
 
 from __future__ import annotations
@@ -40,6 +40,12 @@ def summed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
 
 
+def _digest(rows: DataFrame) -> tuple:
+    """Equal for equal sums, whatever their order."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (*KEYS, *SUMS)]
+    return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))).first())
+
+
 @dataclass(frozen=True)
 class Ledger:
     """Batches below `path` on any file system that Spark knows."""
@@ -56,10 +62,13 @@ class Ledger:
         return exists(self.spark, f"{self._folder(batch)}/_SUCCESS")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Commit once; False if the batch was committed before, then nothing is read or written."""
+        """Commit once; False if the batch was committed before with the same sums, an error if with others."""
+        rows = summed(changes)
         if self.committed(batch):
+            if _digest(rows) != _digest(self.spark.read.parquet(self._folder(batch))):
+                raise ValueError(f"batch {batch} was committed with other content")
             return False
-        summed(changes).coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
+        rows.write.mode("overwrite").parquet(self._folder(batch))
         return True
 
     def batches(self) -> list[str]:

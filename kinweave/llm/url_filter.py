@@ -142,12 +142,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
 
     verdict is the longest fitting rule's, else block where the score is under the threshold, else allow. `accepted`: a
     boolean over the columns of `pages` that labels URLs for the models, null for no label; by default a host with one of
-    REJECT_WORDS is rejected and any other accepted. One labelled URL in five, by hash, only calibrates. Null, empty and
+    REJECT_WORDS is rejected, any other accepted, and a URL without a host has no label. One labelled URL in five, by hash, only calibrates. Null, empty and
     malformed URLs score 0 like any text; without URLs of both labels all scores are null and the method allows.
     """
     host, path = host_and_path(F.col(url_col))
     if accepted is None:
-        accepted = ~host.rlike("|".join(REJECT_WORDS).replace("-", r"\-"))
+        accepted = F.when(host != "", ~host.rlike("|".join(REJECT_WORDS).replace("-", r"\-")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").cast("binary").alias("url"), host.alias("host"), path.alias("path"), accepted.alias("accepted"))
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
     rows = spool(rows.withColumn("held", held).withColumn("n", F.monotonically_increasing_id()), "urls")
