@@ -14,12 +14,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm.arrow import as_bytes, map_batches
+from kinweave.llm.tokens import counter
 from kinweave.runtime import exists
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens")
 
 
+def counted(docs: DataFrame, tokenizers: dict[str, str], pattern: str, text_col: str = "text") -> DataFrame:
+    """(source, lang, counts) for every row of `docs`: counts is a map from the names in `tokenizers` to how many tokens the
+    whole text has by the file of that name. Null and empty texts have none; other columns are not read."""
+    rows = docs.select("source", "lang", as_bytes(text_col, "text"))
+
+    def make():
+        by_name = {name: counter(path, pattern) for name, path in tokenizers.items()}
+
+        def step(cols):
+            counts = [[(name, count(text)) for name, count in by_name.items()] for text in cols["text"]]
+            return {"source": cols["source"], "lang": cols["lang"], "counts": counts}
+
+        return step
+
+    return map_batches(rows, make, "source string, lang string, counts map<string, long>")
+
+
 def inserts(docs: DataFrame, tokenizer: str, tokens: Column) -> DataFrame:
     """Changes for documents (source, lang) that are new: `tokens` is a long column over `docs`."""
     return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))

@@ -1,11 +1,15 @@
-"""Token ids of whole texts by a word-level BPE tokenizer file, with words encoded once and remembered."""
+"""Token ids of whole texts by a word-level BPE tokenizer file, with words encoded once and remembered; token counts by that
+or a file of byte-level ranks."""
 
 from __future__ import annotations
 
+import base64
 import struct
 import threading
+from collections.abc import Callable
 
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 #: Fixed values of the tokenizer format: its word pattern, and the characters that stand for bytes.
@@ -89,3 +93,21 @@ def encoder(path: str) -> WordEncoder:
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         return _encoders[path]
+
+
+_ranked: dict[tuple[str, str], tiktoken.Encoding] = {}
+
+
+def counter(path: str, pattern: str) -> Callable[[bytes | None], int]:
+    """How many tokens a text has by a tokenizer file: .json as WordEncoder reads it, .tiktoken as ranks of byte strings
+    within the parts that `pattern` finds. Names of special tokens are ordinary text for ranks. No text has no tokens."""
+    if not path.endswith(".tiktoken"):
+        words = encoder(path)
+        return lambda text: len(words.encode(text)) // 4
+    with _lock:
+        if (path, pattern) not in _ranked:
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            _ranked[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranked = _ranked[path, pattern]
+    return lambda text: len(ranked.encode_ordinary(text.decode())) if text else 0

@@ -425,6 +425,38 @@ def test_ledger(spark, tmp_path):
     assert sorted(map(str, small.totals().collect())) == sorted(map(str, ledger.totals().collect()))
 
 
+def test_rollup_counts_whole_texts_of_all_documents(spark, texts, docs, tmp_path):
+    import base64
+
+    import tiktoken
+    from kinweave.llm.queries import COUNTING_TOKENIZERS, TOKEN_PATTERN
+
+    old, new = COUNTING_TOKENIZERS
+    plain = Tokenizer.from_file(COUNTING_TOKENIZERS[old])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(COUNTING_TOKENIZERS[new], "rb"))}
+    ranked = tiktoken.Encoding("own", pat_str=TOKEN_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    count = {old: lambda t: len(plain.encode(t, add_special_tokens=False).ids), new: lambda t: len(ranked.encode_ordinary(t))}
+
+    def totals(rows):
+        out = defaultdict(lambda: (0, 0))
+        for source, lang, text in rows:
+            for name, f in count.items():
+                n, m = out[source, lang, name]
+                out[source, lang, name] = n + 1, m + f(text or "")
+        return out
+
+    rows = [(r.source, r.lang, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = QUERIES["op8_token_rollup"](spark, SF).collect()
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in got} == totals(rows) and sum(r.n_docs for r in got) == 2 * len(rows)
+
+    odd = [(None if i % 3 else "s", None if i % 2 else "en", t, i) for i, (_, t) in enumerate(texts[-len(AWKWARD) :])]
+    spark.createDataFrame(odd, "source string, lang string, text string, counts long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_token_rollup"](spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in got} == totals([r[:3] for r in odd])
+    spark.createDataFrame([], "source string, lang string, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert QUERIES["op8_token_rollup"](spark, f"{tmp_path}/none").count() == 0
+
+
 # Chat
 
 
