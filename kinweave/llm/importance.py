@@ -4,12 +4,17 @@ Two generative models, of target text and of raw text, are bags of hashed words
 weight is the sum over its features of the log ratio of their probabilities. Adding Gumbel noise and taking the top k
 samples k documents without replacement in proportion to their weights. Counts cover every document; the noise is a hash
 of the id, so a rerun after a lost executor gives the same sample.
+
+The number of buckets grows with the square root of the bytes read, as the number of distinct words does (Heaps' law): 2^14
+for small tables, 2^16 at 0.5 GB, 2^19 at 30 GB, 2^25 at 100 TB. What a task holds and what is broadcast for scoring is
+one number of 8 bytes a bucket, so at most 32 bytes times that root: 270 MB at 100 TB.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import ceil, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +25,22 @@ from kinweave.llm.arrow import as_bytes, map_batches
 from kinweave.operators.numbering import gapless
 from kinweave.runtime import spool
 
+#: The least number of buckets.
 BUCKETS = 1 << 14
+#: Features that a task gathers before it counts them.
+GATHERED = 1 << 22
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 REMEMBERED = 300_000
 _hashes: dict[bytes, int] = {}
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Buckets of all words and all pairs of neighbours of a whole text."""
+def bits_for(n_bytes: int) -> int:
+    """Buckets for so many bytes of text are 2 to the power of this: at least 2 sqrt(n_bytes) of them."""
+    return max(BUCKETS.bit_length() - 1, ceil(log2(2 * sqrt(max(n_bytes, 1)))))
+
+
+def features(text: bytes | None, bits: int = BUCKETS.bit_length() - 1) -> np.ndarray:
+    """Buckets, of 2^bits, of all words and all pairs of neighbours of a whole text."""
     words = text.translate(LOWER).split() if text else []
     if not words:
         return np.empty(0, np.int64)
@@ -38,33 +51,50 @@ def features(text: bytes | None) -> np.ndarray:
     ones = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     twos = ones[:-1] * np.uint64(0x9E3779B97F4A7C15) + ones[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed = np.concatenate([ones * np.uint64(0xFF51AFD7ED558CCD), twos])
-    return (mixed >> np.uint64(64 - 14)).astype(np.int64)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _counts(targets, bits: int) -> object:
+    """(bucket, raw, target) of each GATHERED features or so, to be summed up."""
 
+    def counted(every: list, chosen: list) -> pa.RecordBatch:
+        cells, raw = np.unique(np.concatenate(every), return_counts=True)
+        own, n = np.unique(np.concatenate([np.empty(0, np.int64), *chosen]), return_counts=True)
+        target = np.zeros(len(cells), np.int64)
+        target[np.searchsorted(cells, own)] = n
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (cells, raw, target)], names=["cell", "raw", "target"])
 
-def _counts(targets) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = targets.value
-        totals = np.zeros((2, BUCKETS), np.int64)
+        wanted = targets.value
+        every, chosen, size = [], [], 0
         for batch in batches:
             for name, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                n = np.bincount(features(text.as_py()), minlength=BUCKETS)
-                totals[0] += n
-                if name in chosen:
-                    totals[1] += n
-        flat = totals.reshape(-1)
-        used = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["cell", "n"])
+                found = features(text.as_py(), bits)
+                every.append(found)
+                size += len(found)
+                if name in wanted:
+                    chosen.append(found)
+                if size >= GATHERED:
+                    yield counted(every, chosen)
+                    every, chosen, size = [], [], 0
+        if every:
+            yield counted(every, chosen)
 
     return run
 
 
-def log_ratios(docs: DataFrame, target_ids: set[int]) -> np.ndarray:
-    """ln p_target / p_raw of each bucket with one added to each count. `docs` has id and text; the raw model covers all."""
+def log_ratios(docs: DataFrame, target_ids: set[int], bits: int | None = None) -> np.ndarray:
+    """ln p_target / p_raw of each bucket with one added to each count. `docs` has id and text; the raw model covers all.
+    2^bits buckets, by default as many as the bytes of `docs` ask for."""
+    if bits is None:
+        bits = bits_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shared = docs.sparkSession.sparkContext.broadcast(target_ids)
-    table = docs.mapInArrow(_counts(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * BUCKETS)
-    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    raw, target = counts.reshape(2, BUCKETS) + 1
+    found = docs.mapInArrow(_counts(shared, bits), "cell long, raw long, target long")
+    table = found.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    raw, target = np.ones(1 << bits), np.ones(1 << bits)
+    cells = table.column("cell").to_numpy()
+    raw[cells] += table.column("raw").to_numpy()
+    target[cells] += table.column("target").to_numpy()
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -74,9 +104,10 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
     def make():
         own = shared.value
+        bits = len(own).bit_length() - 1
 
         def step(cols):
-            got = [features(t) for t in cols["text"]]
+            got = [features(t, bits) for t in cols["text"]]
             return {"id": cols["id"], "n_features": [len(g) for g in got], "log_weight": [float(own[g].sum()) for g in got]}
 
         return step

@@ -342,6 +342,25 @@ def test_weights_are_log_ratios_of_hashed_counts(spark):
     assert [len(c) for c in cells] == [7, 3, 0, 0, 239, 3]
 
 
+def test_buckets_grow_with_the_input(spark):
+    from math import log
+
+    from kinweave.llm.importance import bits_for, features, log_ratios, log_weights
+
+    assert [bits_for(n) for n in (0, 10**6, 512 * 10**6, 30 * 10**9, 100 * 10**12)] == [14, 14, 16, 19, 25]
+    texts = [" ".join(f"w{i * j % 9973}" for j in range(40_000)) for i in range(400, 420)]
+    df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, text binary").repartition(3)
+    ratios = log_ratios(df, {1, 3}, bits=17)
+    assert len(ratios) == 1 << 17 and len(log_ratios(df, {1, 3})) == 1 << bits_for(sum(map(len, texts)))
+    cells = [features(t.encode(), 17).tolist() for t in texts]
+    assert max(map(max, cells)) >= 1 << 16
+    raw, target = Counter(x for c in cells for x in c), Counter(x for i in (1, 3) for x in cells[i])
+    n, m = sum(raw.values()) + (1 << 17), sum(target.values()) + (1 << 17)
+    for r in log_weights(df, ratios).collect():
+        want = sum(log((target[x] + 1) / m) - log((raw[x] + 1) / n) for x in cells[r.id])
+        assert abs(r.log_weight - want) < 1e-9 * len(cells[r.id])
+
+
 def test_cut_with_ties(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 2, 2, 2, 3, 9]], "key double")
     assert [_cut(df, k, bins=4) for k in (1, 2, 3, 6, 7)] == [(9.0, 1), (3.0, 1), (2.0, 1), (2.0, 4), (1.0, 1)]
