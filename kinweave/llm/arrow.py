@@ -14,6 +14,27 @@ from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype
 ROWS = 500
 
 
+#: What this worker process keeps from one task to the next, and the keys that its present task asked for.
+_held: dict[object, object] = {}
+_asked: set[object] = set()
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What `build()` returns, built once a worker process and kept while tasks ask for it. A worker that turns to another
+    function lets go of it, so that the tables of one operator don't add up with those of the next."""
+    _asked.add(key)
+    if key not in _held:
+        _held[key] = build()
+    return _held[key]
+
+
+def _release() -> None:
+    for key in set(_held) - _asked:
+        del _held[key]
+    _asked.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType, raw: tuple[str, ...] = ()) -> DataFrame:
     """`make()` runs once a task and returns a function from columns to columns, which then gets at most ROWS rows a call.
 
@@ -22,7 +43,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     out: pa.Schema = to_arrow_schema(_schema(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _asked.clear()
         step = make()
+        _release()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

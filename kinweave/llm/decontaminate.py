@@ -15,7 +15,7 @@ from itertools import chain, islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import as_bytes, map_batches, with_rows
+from kinweave.llm.arrow import as_bytes, held, map_batches, with_rows
 from kinweave.runtime import spool
 
 #: Bytes to their lower case where they belong to words, else to a space: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z to a-z.
@@ -158,9 +158,6 @@ def _in_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int)
     yield block
 
 
-_built: dict[str, SuffixAutomaton] = {}
-
-
 _FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
@@ -169,10 +166,7 @@ def _scanner(docs: DataFrame, block: list, window: int):
     shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def make():
-        if key not in _built:  # a worker process builds each block's automaton once
-            _built.clear()
-            _built[key] = SuffixAutomaton(shared.value, window)
-        automaton = _built[key]
+        automaton = held(key, lambda: SuffixAutomaton(shared.value, window))
 
         def step(texts):
             out = {"n_words": [], "spans": [], "items": []}

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import base64
 import struct
-import threading
 from collections.abc import Callable
 
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from kinweave.llm.arrow import held
+
 #: Fixed values of the tokenizer format: its word pattern, and the characters that stand for bytes.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,19 +84,15 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, parts))
 
 
-_lock = threading.Lock()
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each tokenizer file and worker process; it lives as long as the worker."""
-    with _lock:
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        return _encoders[path]
+    """One encoder for each tokenizer file and worker process, kept while tasks ask for it."""
+    return held((WordEncoder, path), lambda: WordEncoder(path))
 
 
-_ranked: dict[tuple[str, str], tiktoken.Encoding] = {}
+def _ranked(path: str, pattern: str) -> tiktoken.Encoding:
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def counter(path: str, pattern: str) -> Callable[[bytes | None], int]:
@@ -104,10 +101,5 @@ def counter(path: str, pattern: str) -> Callable[[bytes | None], int]:
     if not path.endswith(".tiktoken"):
         words = encoder(path)
         return lambda text: len(words.encode(text)) // 4
-    with _lock:
-        if (path, pattern) not in _ranked:
-            with open(path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            _ranked[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    ranked = _ranked[path, pattern]
+    ranked = held((tiktoken.Encoding, path, pattern), lambda: _ranked(path, pattern))
     return lambda text: len(ranked.encode_ordinary(text.decode())) if text else 0
