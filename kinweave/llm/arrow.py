@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import LongType, StringType, StructField, StructType, _parse_datatype_string
 
 #: Rows that a function sees at once, so that a batch of very long texts stays small.
 ROWS = 500
@@ -63,11 +63,19 @@ def with_rows(docs: DataFrame, make: Callable[[], Callable[[list], dict[str, lis
     """(n, row, *schema): each row of `docs` as a struct, in which no name can clash, a number of its own, and what the
     function that `make` returns finds in the texts. Rows pass through as they are. Spool it before n is used twice."""
     kind = StructType([StructField("n", LongType(), False), StructField("row", docs.schema, False), *_schema(schema).fields])
-    rows = docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"), as_bytes(text_col, "text"))
+    number, row = F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")
+    inside = docs.columns.index(text_col) if docs.columns.count(text_col) == 1 and docs.schema[text_col].dataType == StringType() else None
+    # a text that is in the row already isn't sent twice
+    rows = docs.select(number, row, *([as_bytes(text_col, "text")] if inside is None else []))
 
     def made():
         step = make()
-        return lambda cols: {"n": cols["n"], "row": cols["row"]} | step(cols["text"])
+
+        def run(cols):
+            texts = cols["text"] if inside is None else cols["row"].field(inside).cast(pa.binary()).to_pylist()
+            return {"n": cols["n"], "row": cols["row"]} | step(texts)
+
+        return run
 
     return map_batches(rows, made, kind, raw=("n", "row"))
 
