@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.operators.components import connected_components
 from kinweave.operators.contexts import running_sums
 from kinweave.operators.graph import degrees
+from kinweave.runtime import spool
 
 
 def summary(df: DataFrame, col: str) -> DataFrame:
@@ -86,9 +87,10 @@ def graph_measures(edges: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, rho): rank correlation of rows where both are there, ties by average rank.
 
-    Ranks come from counts of distinct values, summed over the values below.
+    Ranks come from counts of distinct values, summed over the values below. Values are written once: a sum of floats that is
+    made again, in another order, may differ in its last bit and then has no rank.
     """
-    rows = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x is not null and y is not null")
+    rows = spool(df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x is not null and y is not null"), "ranked")
 
     def ranks(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,7 @@
 """The small fixtures of the operators, with literal results."""
 
 import math
+import random
 from itertools import combinations
 
 import numpy as np
@@ -262,6 +263,9 @@ def test_errors_and_statistics(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (5.0, 9.0), (2.0, 5.0)], "p double, t double")
     assert stats.rmse(df, "p", "t").first().rmse == pytest.approx(math.sqrt(6.5))
     assert stats.spearman(spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 9.0)], "a double, b double"), "a", "b").first().rho == pytest.approx(1.0)
+    noise = F.udf(lambda i: i + random.random() / 2, "double").asNondeterministic()  # as a sum of floats made again is, but more so
+    unstable = spark.range(500).select(noise("id").alias("a"), F.col("id").cast("double").alias("b"))
+    assert stats.spearman(unstable, "a", "b").first() == (500, pytest.approx(1.0))
     assert [(r.bin, r.n) for r in stats.histogram(df, "t", 4).orderBy("bin").collect()] == [(0, 2), (1, 0), (2, 1), (3, 1)]
     assert stats.histogram(df.limit(0), "t", 4).count() == 0
     e = edges_of(spark, [(0, 1, 1), (1, 2, 1), (2, 0, 1), (2, 3, 1), (3, 2, 1)])
