@@ -13,6 +13,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, _pa
 #: Rows that a function sees at once, so that a batch of very long texts stays small.
 ROWS = 500
 
+#: Bytes in a batch on its way to Python. Each task holds a batch in the JVM, with room to grow, and once more in Python.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 #: What this worker process keeps from one task to the next, and the keys that its present task asked for.
 _held: dict[object, object] = {}
@@ -38,8 +42,12 @@ def _release() -> None:
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType, raw: tuple[str, ...] = ()) -> DataFrame:
     """`make()` runs once a task and returns a function from columns to columns, which then gets at most ROWS rows a call.
 
-    It gets lists, or Arrow arrays for columns named in `raw`, and may return either.
+    It gets lists, or Arrow arrays for columns named in `raw`, and may return either. Unless the session sets its own limit, batches
+    to Python are held to BATCH_BYTES from here on, or to one row where that is larger.
     """
+    conf = df.sparkSession.conf
+    if _LIMIT not in conf.getAll:
+        conf.set(_LIMIT, str(BATCH_BYTES))
     out: pa.Schema = to_arrow_schema(_schema(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,8 @@ import random
 import re
 
 import pytest
+from kinweave.llm.arrow import BATCH_BYTES, map_batches
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -163,3 +165,9 @@ def test_chains_and_groups_of_near_copies_lose_no_link(spark):
     docs = list(enumerate([*texts, None, "", "x"]))
     got = {r.doc_id: r.component_id for r in shingle_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
     assert got == plain_similar_groups(docs)
+
+
+def test_batches_of_long_texts_are_small(spark):
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    sizes = [r.n for r in map_batches(texts, lambda: lambda cols: {"n": [sum(map(len, cols["t"]))]}, "n long").collect()]
+    assert sum(sizes) == 40 << 20 and max(sizes) <= BATCH_BYTES + (1 << 20)
