@@ -171,3 +171,29 @@ def test_batches_of_long_texts_are_small(spark):
     texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
     sizes = [r.n for r in map_batches(texts, lambda: lambda cols: {"n": [sum(map(len, cols["t"]))]}, "n long").collect()]
     assert sum(sizes) == 40 << 20 and max(sizes) <= BATCH_BYTES + (1 << 20)
+
+
+@pytest.mark.parametrize("n", [1000, 200_000, 12_000_000])
+def test_near_copies_share_a_block_of_their_simhash(n):
+    import numpy as np
+    from kinweave.llm.shingles import block_bits, long_fingerprint, plan, shingle_set
+    from kinweave.llm.simhash import fingerprint
+
+    rng = random.Random(11)
+    chosen, found, most = block_bits(*plan(n, 0.8)), 0, 0
+    assert all(len(set(x)) == len(x) for x in chosen.tolist())
+    for _ in range(200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(184)]
+        texts = []
+        for _ in range(2):  # the first has its words, the second four others: 160 of 200 shingles shared
+            texts.append(" ".join(words).encode())
+            for at in (20, 60, 100, 140):
+                words[at] = f"v{rng.randrange(10**6)}"
+        a, b = (shingle_set(t) for t in texts)
+        assert len(np.intersect1d(a, b)) == 0.8 * len(np.union1d(a, b))
+        x, y = (long_fingerprint(s) for s in (a, b))
+        assert int.from_bytes(x[:8], "big") == fingerprint(texts[0], 5)  # that of op10, on words of five
+        x, y = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in (x, y))
+        found += (x[chosen] == y[chosen]).all(axis=1).any()
+        most = max(most, np.count_nonzero(x[:128] != y[:128]))
+    assert found >= 198 and most <= 36
