@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType, _parse_datatype_string
 
+from kinweave.runtime import spool
+
 #: Rows that a function sees at once, so that a batch of very long texts stays small.
 ROWS = 500
 
@@ -17,6 +21,8 @@ ROWS = 500
 BATCH_BYTES = 8 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Marks that are broadcast at a time, each for 64 numbers of rows.
+MARKS = 1 << 20
 
 #: What this worker process keeps from one task to the next, and the keys that its present task asked for.
 _held: dict[object, object] = {}
@@ -88,6 +94,30 @@ def with_rows(docs: DataFrame, make: Callable[[], Callable[[list], dict[str, lis
     return map_batches(rows, made, kind, raw=("n", "row"))
 
 
+def numbered(table: DataFrame, numbers: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of `table` (n, ...), spooled, whose n is among `numbers` (n), or those whose n is not. Repeated numbers count once.
+
+    Rows stay where they are, whatever their size: marks go to them, with a bit for each number. Over MARKS of them are sent
+    range by range, and what is found in a range, the only part of the table that is read then, is written before the next.
+    """
+    word, bit = F.shiftright("n", 6), F.expr("cast(n & 63 as int)")
+    marks = numbers.select(word.alias("word"), F.expr("shiftleft(1L, cast(n & 63 as int))").alias("bit"))
+    marks = spool(marks.groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
+    ranges = -(-marks.count() // MARKS)
+    cuts = marks.approxQuantile("word", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    found = []
+    for low, high in pairwise([None, *sorted({int(x) for x in cuts}), None]):
+        rows, some = table, marks
+        if low is not None:
+            rows, some = rows.where(F.col("n") >= low * 64), some.where(F.col("word") >= low)
+        if high is not None:
+            rows, some = rows.where(F.col("n") < high * 64), some.where(F.col("word") < high)
+        rows = rows.join(F.broadcast(some), word == F.col("word"), "inner" if inside else "left")
+        rows = rows.where(F.coalesce(F.getbit("bits", bit), F.lit(0)) == int(inside)).select(*table.columns)
+        found.append(spool(rows, "numbered") if cuts else rows)
+    return reduce(DataFrame.unionByName, found)
+
+
 def as_bytes(column: str, name: str | None = None):
     """The UTF-8 bytes of a text column; null stays null."""
     return F.col(column).cast("string").cast("binary").alias(name or column)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import map_batches, with_rows
+from kinweave.llm.arrow import map_batches, numbered, with_rows
 from kinweave.llm.simhash import LOWER, SEED, firsts, kept_rows, least_id, rooted
 from kinweave.runtime import spool
 
@@ -203,12 +203,13 @@ def _differ(a, b):
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (src, dst) whose `sets` (key, hashes) are at least so similar."""
-    side = lambda name: sets.select(F.col("key").alias(name), F.col("hashes").alias(f"of_{name}"))
-    a, b = F.size("of_src"), F.size("of_dst")
-    both = F.size(F.array_intersect("of_src", "of_dst"))
-    # a pair of unequal sizes can't be more similar than the quotient of the sizes
-    near = pairs.join(side("src"), "src").join(side("dst"), "dst").where(F.least(a, b) >= similarity * F.greatest(a, b))
+    """Those of `pairs` (src, dst) whose `sets` (key, size, hashes) are at least so similar."""
+    side = lambda name, c: sets.select(F.col("key").alias(name), F.col(c).alias(f"{c}_{name}"))
+    a, b = F.col("size_src"), F.col("size_dst")
+    both = F.size(F.array_intersect("hashes_src", "hashes_dst"))
+    # a pair of unequal sizes can't be more similar than the quotient of the sizes, so its sets are not sent
+    near = pairs.join(side("src", "size"), "src").join(side("dst", "size"), "dst").where(F.least(a, b) >= similarity * F.greatest(a, b))
+    near = near.join(side("src", "hashes"), "src").join(side("dst", "hashes"), "dst")
     return near.where(both >= similarity * (a + b - both)).select("src", "dst")
 
 
@@ -227,16 +228,17 @@ def links(table: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col:
     near = spool(weights.join(keyed, "key"), "near")
 
     # the sets of keys that are near others, each from one row that has it
-    texts = table.select("n", F.col("row").getField(text_col).cast("string").cast("binary").alias("text")).join(near.select("n"), "n").select("text")
+    texts = table.select("n", F.col("row").getField(text_col).cast("string").cast("binary").alias("text"))
+    texts = numbered(texts, near.select("n")).select("text")
 
     def make():
         def step(cols):
             sets = [shingle_set(t, shingle) for t in cols["text"]]
-            return {"key": [set_key(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]}
+            return {"key": [set_key(x) for x in sets], "size": [len(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]}
 
         return step
 
-    sets = spool(map_batches(texts, make, "key long, hashes array<long>"), "sets")
+    sets = spool(map_batches(texts, make, "key long, size int, hashes array<long>"), "sets")
     rows = in_blocks(near.select("key", "w", "print"), length, blocks)
     hub = F.max(F.struct("w", "key", "f", "g")).over(Window.partitionBy("block"))
     rows = rows.withColumn("h", hub).where(_differ({"f": F.col("f"), "g": F.col("g")}, F.col("h")) <= most)
@@ -251,7 +253,7 @@ def links(table: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col:
     inside = label.join(of_hub, "hub").select("hub", "key", "label", (F.col("label") == F.col("hub_label")).alias("with_hub"))
     mixed = inside.where("not with_hub").select("hub").distinct()
     first_bits = [F.conv(F.hex(F.substring("print", at, 8)), 16, -10).cast("long").alias(n) for at, n in ((1, "f"), (9, "g"))]
-    whole = spool(inside.join(mixed, "hub", "left_semi").join(near.select("key", *first_bits), "key").join(sets, "key"), "mixed")
+    whole = spool(inside.join(mixed, "hub", "left_semi").join(near.select("key", *first_bits), "key").join(sets.drop("size"), "key"), "mixed")
 
     here = Window.partitionBy("block")
     rows = in_blocks(near.select("key", "print").join(label, "key"), length, blocks)

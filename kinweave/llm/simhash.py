@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import as_bytes, map_batches, with_rows
+from kinweave.llm.arrow import as_bytes, map_batches, numbered, with_rows
 from kinweave.operators.components import connected_components
 from kinweave.runtime import spool
 
@@ -190,10 +190,10 @@ def least_id(root: str = "root"):
 
 def kept_rows(table: DataFrame, roots: DataFrame) -> DataFrame:
     """Of `table` (n, row, id, key), spooled, one row a group, as it was: that with the least id; and one row an id, that
-    with the least key and number. Rows with a null id always stay. Those that go are joined, not those that stay."""
+    with the least key and number. Rows with a null id always stay. Only numbers are joined; rows are marked by them."""
     stay = roots.where("v = root and not v.none").groupBy("v.id").agg(F.min("v.key").alias("key"), F.min_by("v.n", "v.key").alias("n")).select("n")
     gone = table.where("id is not null").select("n").join(stay, "n", "left_anti")
-    return table.join(gone, "n", "left_anti").select("row.*")
+    return numbered(table.select("n", "row"), gone, inside=False).select("row.*")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, **options) -> DataFrame:

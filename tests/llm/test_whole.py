@@ -197,3 +197,40 @@ def test_near_copies_share_a_block_of_their_simhash(n):
         found += (x[chosen] == y[chosen]).all(axis=1).any()
         most = max(most, np.count_nonzero(x[:128] != y[:128]))
     assert found >= 198 and most <= 36
+
+
+def test_near_duplicates_send_no_text_through_a_shuffle(spark, monkeypatch):
+    from kinweave.llm import arrow, shingles, simhash
+
+    plans, name = [], "spark.sql.autoBroadcastJoinThreshold"
+    seen = lambda df: plans.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+    for module in (m for m in (arrow, shingles, simhash) if hasattr(m, "spool")):
+        monkeypatch.setattr(module, "spool", lambda df, name="step", write=module.spool: seen(df) or write(df, name))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as with tables too large for Spark to broadcast
+    try:
+        words = [" ".join(f"w{i}_{j}" for j in range(60)) for i in range(40)]
+        docs = list(enumerate([*words, *(f"{w} more" for w in words[:20]), *words[:5]]))
+        kept = shingles.keep_one_similar(spark.createDataFrame(docs, "doc_id long, text string"))
+        seen(kept)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    finally:
+        spark.conf.set(name, before)
+    sent = [got for plan in plans for got in re.findall(r"\) Exchange\nInput [^\n]*", plan)]
+    assert sent and not [x for x in sent if re.search(r"[\[ ](row|text)#", x)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 2])
+@pytest.mark.parametrize("inside", [True, False])
+def test_rows_are_found_by_their_numbers(spark, monkeypatch, most, inside):
+    from kinweave.llm import arrow
+    from kinweave.runtime import spool
+
+    monkeypatch.setattr(arrow, "MARKS", most)  # marks that are sent at a time
+    table = spool(spark.range(0, 700, 1, 3).select(F.monotonically_increasing_id().alias("n"), F.col("id").alias("x")))
+    ends = {0, 63, 64, 127, 128, 699}
+    for chosen in (set(range(0, 700, 7)) | ends, ends, set(), set(range(700))):
+        numbers = table.where(F.col("x").isin(list(chosen))).select("n") if chosen else table.select("n").limit(0)
+        got = arrow.numbered(table, numbers.unionByName(numbers), inside)
+        assert got.columns == ["n", "x"]
+        assert sorted(r.x for r in got.collect()) == sorted(x for x in range(700) if (x in chosen) == inside)
